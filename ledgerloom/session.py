@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,30 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and forget its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables written in the shared checkpoint folder, for loops.
+
+    A checkpoint keeps the size estimate of its plan, and in a loop of joins
+    the estimates multiply until they fill the driver; a written table is
+    estimated by its files.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables; nothing that reads them may be used afterwards."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
