@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut
+from ledgerloom.session import Scratch, cut
 
 #: Reduction goes on while a round leaves at most this share of the edges.
 KEEP_REDUCING = 0.7
@@ -31,58 +31,63 @@ def linked_pairs(relations: DataFrame, verdict: str = "corroborates") -> DataFra
     return r.groupBy("a", "b").agg(F.max("last").alias("last")).where("last & 1 = 1").select("a", "b")
 
 
+def _cut_moving(df: DataFrame, t: Scratch) -> tuple[DataFrame, bool]:
+    """Cut df; tell whether any row of it moved."""
+    out = t.cut(df)
+    return out.drop("moved"), not out.where("moved").isEmpty()
+
+
 def _degrees(e: DataFrame) -> DataFrame:
     both = e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x"))
     return both.select("x.v", "x.u").groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi"))
 
 
-def _strip(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _strip(e: DataFrame, t: Scratch) -> tuple[DataFrame, DataFrame]:
     """Edges without those to leaves, and (v, p) of the leaves."""
     leaf = _degrees(e).where("n = 1").select("v", F.least("v", "lo").alias("a"), F.greatest("v", "lo").alias("b"))
     # an edge between two leaves is met twice: its larger end goes
-    gone = cut(leaf.groupBy("a", "b").agg(F.max("v").alias("v")).select("a", "b", "v", F.expr("a + b - v").alias("p")))
-    return cut(e.join(gone.select("a", "b"), ["a", "b"], "left_anti")), gone.select("v", "p")
+    gone = t.cut(leaf.groupBy("a", "b").agg(F.max("v").alias("v")).select("a", "b", "v", F.expr("a + b - v").alias("p")))
+    return t.cut(e.join(gone.select("a", "b").hint("merge"), ["a", "b"], "left_anti")), gone.select("v", "p")
 
 
-def _compress(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _compress(e: DataFrame, t: Scratch) -> tuple[DataFrame, DataFrame]:
     """Edges with chains replaced by single edges, and (v, p) of their inner vertices.
 
     A degree-two vertex below both neighbours stays as an end, so every cycle
     has an end and the doubling always stops.
     """
-    inner = cut(_degrees(e).where("n = 2 and v > lo").select("v", "lo", "hi"))
+    inner = t.cut(_degrees(e).where("n = 2 and v > lo").select("v", "lo", "hi"))
     if inner.isEmpty():
         return e, inner.select("v", F.col("lo").alias("p"))
-    arcs = cut(inner.select(F.explode(F.array(
+    arcs = t.cut(inner.select(F.explode(F.array(
         F.struct(F.col("lo").alias("s"), F.col("v").alias("t"), F.col("v").alias("ns"), F.col("hi").alias("nt")),
         F.struct(F.col("hi").alias("s"), F.col("v").alias("t"), F.col("v").alias("ns"), F.col("lo").alias("nt")))).alias("x")).select("x.*"))
     while True:
         step = arcs.select(F.col("s").alias("ns"), F.col("t").alias("nt"), F.col("ns").alias("js"), F.col("nt").alias("jt"))
-        jumped = cut(arcs.join(step, ["ns", "nt"], "left").select(
-            "s", "t", F.coalesce("js", "ns").alias("ns"), F.coalesce("jt", "nt").alias("nt"), F.col("js").isNotNull().alias("moved")))
-        arcs = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
+        arcs, moved = _cut_moving(arcs.join(step.hint("merge"), ["ns", "nt"], "left").select(
+            "s", "t", F.coalesce("js", "ns").alias("ns"), F.coalesce("jt", "nt").alias("nt"), F.col("js").isNotNull().alias("moved")), t)
+        if not moved:
             break
-    ends = cut(arcs.groupBy(F.col("t").alias("v")).agg(F.min("nt").alias("a"), F.max("nt").alias("b")))
+    ends = t.cut(arcs.groupBy(F.col("t").alias("v")).agg(F.min("nt").alias("a"), F.max("nt").alias("b")))
     gone = inner.select("v", F.explode(F.array("lo", "hi")).alias("u")).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b"))
-    left = e.join(gone, ["a", "b"], "left_anti").unionByName(ends.where("a != b").select("a", "b"))
-    return cut(left.distinct()), ends.select("v", F.col("a").alias("p"))
+    left = e.join(gone.hint("merge"), ["a", "b"], "left_anti").unionByName(ends.where("a != b").select("a", "b"))
+    return t.cut(left.distinct()), ends.select("v", F.col("a").alias("p"))
 
 
-def _contract(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _contract(e: DataFrame, t: Scratch) -> tuple[DataFrame, DataFrame]:
     """Hook every vertex to its smallest neighbour, contract; (v, p) of the hooked."""
-    hook = cut(_degrees(e).where("lo < v").select("v", F.col("lo").alias("p")))
+    hook = t.cut(_degrees(e).where("lo < v").select("v", F.col("lo").alias("p")))
     while True:
         up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        jumped = cut(hook.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
-        hook = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
+        hook, moved = _cut_moving(hook.join(up.hint("merge"), "p", "left").select(
+            "v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), t)
+        if not moved:
             break
     on_a = hook.select(F.col("v").alias("a"), F.col("p").alias("pa"))
     on_b = hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-    moved = e.join(on_a, "a", "left").select(F.coalesce("pa", "a").alias("a"), "b").distinct()
-    moved = moved.join(on_b, "b", "left").select("a", F.coalesce("pb", "b").alias("b")).where("a != b")
-    return cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), hook
+    moved = e.join(on_a.hint("merge"), "a", "left").select(F.coalesce("pa", "a").alias("a"), "b").distinct()
+    moved = moved.join(on_b.hint("merge"), "b", "left").select("a", F.coalesce("pb", "b").alias("b")).where("a != b")
+    return t.cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), hook
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -90,31 +95,36 @@ def groups(edges: DataFrame) -> DataFrame:
 
     No edges: no rows.  Repeated edges and either direction of an edge count once.
     """
-    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    t = Scratch(edges.sparkSession)
+    e = t.cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
     log: list[DataFrame] = []
     n = e.count()
     reducing = True
     while n:
         if reducing:
-            e, gone = _strip(e)
+            e, gone = _strip(e, t)
             log.append(gone)
             if not e.isEmpty():
-                e, gone = _compress(e)
+                e, gone = _compress(e, t)
                 log.append(gone)
         else:
-            e, gone = _contract(e)
+            e, gone = _contract(e, t)
             log.append(gone)
         before, n = n, e.count()
         reducing = n <= KEEP_REDUCING * before
     if not log:
-        return e.select(F.col("a").alias("fact_id"), F.col("b").alias("group_id"))
+        out = cut(e.select(F.col("a").alias("fact_id"), F.col("b").alias("group_id")))
+        t.drop()
+        return out
     labels = None
     for gone in reversed(log):
         if labels is None:
             labels = gone.select("v", F.col("p").alias("root"))
         else:
             known = labels.select(F.col("v").alias("p"), F.col("root").alias("r"))
-            labels = cut(labels.unionByName(gone.join(known, "p", "left").select("v", F.coalesce("r", "p").alias("root"))))
+            labels = t.cut(labels.unionByName(gone.join(known.hint("merge"), "p", "left").select("v", F.coalesce("r", "p").alias("root"))))
     roots = labels.groupBy("root").agg(F.min("v").alias("low")).select("root", F.least("low", "root").alias("group_id"))
     members = labels.unionByName(roots.select(F.col("root").alias("v"), "root"))
-    return members.join(roots, "root").select(F.col("v").alias("fact_id"), "group_id")
+    out = cut(members.join(roots.hint("merge"), "root").select(F.col("v").alias("fact_id"), "group_id"))
+    t.drop()
+    return out
