@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, copies, groups, site_lines
+from ledgerloom.llm import bpe, canonical, copies, groups, site_lines
 from ledgerloom.session import table
 
 
@@ -32,10 +32,14 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.claim_records(table(spark, d, "facts"), table(spark, d, "evidence"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_names(table(spark, d, "facts"), table(spark, d, "canon_terms"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_lines": p1_lines, "p1_clean": p1_clean, "p5_found": p5_found,
-           "p6_found": p6_found, "p6_records": p6_records, "p8_ids": p8_ids}
+           "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids}
 ORACLE: dict[str, str] = {}
