@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, canonical, copies, groups, site_lines
+from ledgerloom.llm import bpe, canonical, copies, groups, mixing, pieces, site_lines
 from ledgerloom.session import table
 
 
@@ -20,6 +20,14 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.clean_documents(table(spark, d, "blocks"), table(spark, d, "documents"))
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "windows"), table(spark, d, "blocks"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.found_items(p2_pieces(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.groups(groups.linked_pairs(table(spark, d, "relations")))
 
@@ -40,6 +48,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_lines": p1_lines, "p1_clean": p1_clean, "p5_found": p5_found,
-           "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids}
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shards(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shard_counts(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_lines": p1_lines, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found,
+           "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shards": p9_shards}
 ORACLE: dict[str, str] = {}
