@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, canonical, copies, groups, mixing, pieces, site_lines
+from ledgerloom.llm import bpe, canonical, copies, groups, mixing, pieces, site_lines, stuffing
 from ledgerloom.session import table
 
 
@@ -60,6 +60,11 @@ def p9_shards(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shard_counts(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"))
+
+
 QUERIES = {"p1_found": p1_found, "p1_lines": p1_lines, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found,
-           "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shards": p9_shards}
+           "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shards": p9_shards,
+           "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
