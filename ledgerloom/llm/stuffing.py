@@ -42,7 +42,7 @@ SALTS = 64
 _LINK = regex.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>|</a>|(?<=\])\([^)\s]*\)")
 _TAG = regex.compile(r"(#[\p{L}\p{M}_]{2,})\p{N}*")
 _WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)?|\p{N}+")
-_SENTENCES = regex.compile(r"(?<=[.!?।])[\"”’)]*\s+")
+_SENTENCES = regex.compile(r"(?<=[.!?।])[\"”’)]*\s+|\n")
 _END = (".", "!", "?", "।")
 
 
@@ -109,29 +109,33 @@ def measure(body: str | None) -> tuple[int, float, float, float, float, float]:
 
     Covered and phrase share are 0 where a bound on them already rules a case
     out: a phrase of up to MAX_PHRASE words stands no more often than the most
-    frequent pair of neighbours.
+    frequent word, or pair of neighbours.  Numbers are counted in lists only.
     """
     if not body:
         return 0, 0.0, 0.0, 0.0, 0.0, 0.0
-    bare = _LINK.sub(" ", body)
-    tagged = sum(len(t) for t in _TAG.findall(bare))
-    linked = 1 - (len(bare.replace(" ", "")) - tagged) / max(1, len(body.replace(" ", "")))
-    bare = _TAG.sub(r"\1", bare)  # a number at the end of a tag is no number of the text
-    words = _WORDS.findall(bare.casefold())
+    bare, linked = body, 0.0
+    if "://" in body or "www." in body or "<" in body or "](" in body or "#" in body:
+        bare = _LINK.sub(" ", body)
+        tagged = sum(len(t) for t in _TAG.findall(bare))
+        linked = 1 - (len(bare.replace(" ", "")) - tagged) / max(1, len(body.replace(" ", "")))
+        bare = _TAG.sub(r"\1", bare)  # a number at the end of a tag is no number of the text
+    words, in_clause, find = [], 0, _WORDS.findall
+    for s in _SENTENCES.split(bare.casefold()):
+        own = find(s)
+        if len(own) >= SENTENCE_WORDS and s.rstrip(" \"”’)").endswith(_END):
+            in_clause += len(own)
+        words += own
     n = len(words)
     if n < MIN_WORDS:
         return n, 0.0, 0.0, linked, 0.0, 0.0
-    in_clause = 0
-    for line in bare.split("\n"):
-        for s in _SENTENCES.split(line):
-            if s.rstrip(" \"”’)").endswith(_END):
-                k = len(_WORDS.findall(s))
-                in_clause += k if k >= SENTENCE_WORDS else 0
     clause = in_clause / n
-    numbers = sum(w[0].isdigit() for w in words) / n
-    pair = Counter(zip(words, words[1:])).most_common(1)[0][1]
-    if clause >= CLAUSE_POOR and pair * MAX_PHRASE < PHRASE * n:
-        return n, clause, numbers, linked, 0.0, 0.0
+    numbers = sum(w[0].isdigit() for w in words) / n if clause < CLAUSE_POOR else 0.0
+    if clause >= CLAUSE_POOR:
+        bound = Counter(words).most_common(1)[0][1]
+        if bound * MAX_PHRASE >= PHRASE * n:
+            bound = Counter(zip(words, words[1:])).most_common(1)[0][1]
+        if bound * MAX_PHRASE < PHRASE * n:
+            return n, clause, numbers, linked, 0.0, 0.0
     ids: dict[str, int] = {}
     sam = SuffixAutomaton([ids.setdefault(w, len(ids)) for w in words])
     mark = [0] * (n + 1)
@@ -162,9 +166,9 @@ def _lines(text: Column) -> Column:
 def own_text(documents: DataFrame) -> DataFrame:
     """``doc_id, body``: the text without title and site lines, lines joined by one line end."""
     d = documents.select("doc_id", "source", "title", "text").where("text is not null")
-    k1, k2 = hash128(line_key(F.col("line")))
+    k1, k2 = hash128(F.col("key"))
     lines = (d.where("source is not null and doc_id is not null").select("doc_id", "source", F.explode(_lines(F.col("text"))).alias("line"))
-             .where(F.col("line").rlike(r"[^\s]")).select("doc_id", "source", k1.alias("k1"), k2.alias("k2")))
+             .select("doc_id", "source", line_key(F.col("line")).alias("key")).where("key != ''").select("doc_id", "source", k1.alias("k1"), k2.alias("k2")))
     maps = cut(bitmaps(lines))
     per = maps.groupBy("source", "word").agg(F.bit_or("bits").alias("bits")).groupBy("source").agg(F.sum(F.bit_count("bits")).alias("source_docs"))
     site = cut(frequent_lines(maps, per, SITE_DOCS, SITE_SHARE).groupBy("source").agg(F.collect_set("k1").alias("site")))
@@ -173,12 +177,13 @@ def own_text(documents: DataFrame) -> DataFrame:
     else:
         salted = site.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         j = d.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, ["source", "salt"], "left")
-    all_ = F.filter(_lines(F.col("text")), lambda x: x.rlike(r"[^\s]"))
-    head = F.coalesce(line_key(F.col("title")), F.lit(""))
-    rest = F.filter("lines", lambda x: (line_key(x) != F.col("head")) & ~F.coalesce(F.array_contains("site", F.xxhash64(line_key(x))), F.lit(False)))
+    # each line with its key, once; lines without letters or digits have none
+    keyed = F.filter(F.transform(_lines(F.col("text")), lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))), lambda x: x["key"] != "")
+    title = F.coalesce(line_key(F.col("title")), F.lit(""))
+    rest = F.filter("lines", lambda x: (x["key"] != F.col("head")) & ~F.coalesce(F.array_contains("site", F.xxhash64(x["key"])), F.lit(False)))
     # without a title the first line is one
-    j = j.withColumn("lines", all_).withColumn("head", F.when(head != "", head).otherwise(F.coalesce(line_key(F.try_element_at("lines", F.lit(1))), F.lit(""))))
-    return j.select("doc_id", F.array_join(rest, "\n").alias("body"))
+    j = j.withColumn("lines", keyed).withColumn("head", F.when(title != "", title).otherwise(F.coalesce(F.try_element_at("lines", F.lit(1))["key"], F.lit(""))))
+    return j.select("doc_id", F.array_join(F.transform(rest, lambda x: x["line"]), "\n").alias("body"))
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
