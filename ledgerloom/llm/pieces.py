@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 MAX_CHARS = 4000
 OVERLAP = 400
+#: Pieces shorter than the limit divided by this are scraps.
+SCRAP = 10
 
 _HEADING = re.compile(r"(?m)^(?:#{1,6}\s+\S.*|\d+(?:\.\d+)*\.?\s+[^\W\d_][^.!?\n]{0,70}|[^\W\d_][^.!?:;|,\n]{2,60})$")
 _PARAGRAPH = re.compile(r"\n\s*\n")
@@ -54,6 +56,8 @@ def _pack(text: str, s: int, e: int, level: int, limit: int, spans: list[tuple[i
     open_ = False  # the last piece is a run of whole siblings that may grow
     for end in ends:
         if end - s > limit:
+            if open_ and (s - out[-1][0]) * SCRAP < limit:
+                s = out.pop()[0]  # a heading or other scrap goes with what follows it
             out += _pack(text, s, end, level + 1, limit, spans)
             open_ = False
         elif open_ and end - out[-1][0] <= limit:
@@ -88,8 +92,8 @@ def split_text(text: str, spans: list[tuple[int, int]] | None = None, max_chars:
     limit = max_chars - overlap
     parts: list[tuple[int, int]] = []
     for s, e in _pack(text, 0, len(text), 0, limit, spans):
-        # a short remainder beside a node that was descended into joins its neighbour
-        if parts and e - parts[-1][0] <= limit:
+        # a scrap beside a node that was descended into joins its neighbour
+        if parts and e - parts[-1][0] <= limit and min(e - s, parts[-1][1] - parts[-1][0]) * SCRAP < limit:
             parts[-1] = (parts[-1][0], e)
         else:
             parts.append((s, e))
