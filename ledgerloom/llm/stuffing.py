@@ -29,7 +29,7 @@ SENTENCE_WORDS = 4
 MAX_NUMBERS = 0.3         # lists with more numbers are tables of figures
 COVERED = 0.25            # share of characters in phrases that stand three times or more
 LINKED = 0.15             # share of characters in links and tags
-PHRASE = 0.38             # share of words in one phrase
+PHRASE = 0.45             # share of words in one phrase
 MAX_PHRASE = 4            # words of a phrase that counts as one
 REPEATS = 3
 #: Site lines, here, stand in at least this share of a source's documents.
