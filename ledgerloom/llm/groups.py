@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.session import Scratch, cut
 
 #: Reduction goes on while a round leaves at most this share of the edges.
-KEEP_REDUCING = 0.7
+KEEP_REDUCING = 0.5
 
 
 def linked_pairs(relations: DataFrame, verdict: str = "corroborates") -> DataFrame:
@@ -111,7 +111,8 @@ def groups(edges: DataFrame) -> DataFrame:
             e, gone = _contract(e, t)
             log.append(gone)
         before, n = n, e.count()
-        reducing = n <= KEEP_REDUCING * before
+        # the core is left to contraction once a round of reduction no longer pays
+        reducing = reducing and n <= KEEP_REDUCING * before
     if not log:
         out = cut(e.select(F.col("a").alias("fact_id"), F.col("b").alias("group_id")))
         t.drop()
