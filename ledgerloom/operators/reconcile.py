@@ -114,7 +114,8 @@ def adjudicate(classified: DataFrame, answers: DataFrame, budget: int | None = N
     a verdict outside the vocabulary is unrelated.  A pair without an answer
     ends the adjudication: it and all later ones get the rule's verdict.
     """
-    rk = budget_rank(classified)
+    classified = cut(classified)  # the rank, the first miss and the verdicts all read it
+    rk = cut(budget_rank(classified))
     ans = answers.select("fact_a", "fact_b", F.when(F.col("verdict").isin(*MODEL_VERDICTS), F.col("verdict")).otherwise("unrelated").alias("mv"), "kind", "factor", F.lit(True).alias("hit"))
     j = classified.join(rk, ["fact_a", "fact_b"], "left").join(ans, ["fact_a", "fact_b"], "left")
     miss = rk.join(ans, ["fact_a", "fact_b"], "left_anti").agg(F.min("call_rank").alias("first_miss"))  # one row
