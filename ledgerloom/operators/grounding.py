@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import cache_key, collapse, locate
+from ledgerloom.operators.ingest import halves
+from ledgerloom.session import cut
 
 NOT_FOUND = "evidence_quote not found in source window"
 MISSING = "missing subject or metric"
-PROPOSAL = ("facts array<struct<subject:string,metric:string,value_raw:string,unit_raw:string,period_raw:string,"
-            "qualifiers:map<string,string>,claim_type:string,evidence_quote:string,confidence:string>>")
 
 
 def quoted_texts(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -123,13 +124,93 @@ def lenient_json(text: str | None) -> str | None:
     return json.dumps(out)
 
 
+def scalar_text(v: object) -> str | None:
+    """A JSON scalar as text: floats with six significant digits; lists and objects are no text (SCL-4)."""
+    if v is None or isinstance(v, (list, dict)):
+        return None
+    return f"{v:g}" if isinstance(v, float) else str(v)
+
+
+_TEXTS = ("subject", "metric", "value_raw", "unit_raw", "period_raw", "claim_type", "evidence_quote")
+_PROPOSAL = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in _TEXTS]
+                                     + [T.StructField("qualifiers", T.MapType(T.StringType(), T.StringType())), T.StructField("confidence", T.DoubleType())]))
+
+
+def _proposals(response: str | None) -> list[dict] | None:
+    whole = lenient_json(response)
+    if whole is None:
+        return None
+    out = []
+    for f in json.loads(whole).get("facts") or []:
+        if not isinstance(f, dict):
+            continue
+        row: dict = {c: scalar_text(f.get(c)) for c in _TEXTS}
+        q = f.get("qualifiers")
+        row["qualifiers"] = {k: t for k, v in q.items() if (t := scalar_text(v)) is not None} if isinstance(q, dict) else {}
+        row["claim_type"] = row["claim_type"] or "measurement"
+        try:
+            row["confidence"] = float(f.get("confidence") or 0)
+        except (TypeError, ValueError):
+            row["confidence"] = 0.0
+        out.append(row)
+    return out
+
+
+@F.pandas_udf(_PROPOSAL)
+def parse_response(response: pd.Series) -> pd.Series:
+    """Proposed facts of each response; null where it is missing or unusable."""
+    return response.map(_proposals, na_action="ignore")
+
+
 def explode_proposals(responses: DataFrame) -> DataFrame:
     """``id, seq`` and the fields of each proposed fact; confidence that is no number is 0 (SCL-37)."""
-    fix = F.udf(lenient_json, T.StringType())
-    whole = F.try_parse_json("response")
-    text = F.when(whole.isNotNull() & F.ltrim("response").startswith("{"), F.col("response")).otherwise(fix("response"))
-    p = responses.withColumn("p", F.from_json(text, PROPOSAL)).select("id", F.posexplode_outer("p.facts").alias("seq", "f")).where("f is not null")
-    return p.select("id", "seq", "f.subject", "f.metric", "f.value_raw", "f.unit_raw", "f.period_raw",
-                    F.coalesce("f.qualifiers", F.create_map().cast("map<string,string>")).alias("qualifiers"),
-                    F.coalesce("f.claim_type", F.lit("measurement")).alias("claim_type"), "f.evidence_quote",
-                    F.coalesce(F.col("f.confidence").try_cast("double"), F.lit(0.0)).alias("confidence"))
+    p = responses.select("id", F.posexplode(parse_response("response")).alias("seq", "f"))
+    return p.select("id", "seq", *[F.col(f"f.{c}") for c in (*_TEXTS, "qualifiers", "confidence")])
+
+
+UNREAD = "no cached response and no API key"
+UNUSABLE = "unusable model output"
+
+
+def extract(windows: DataFrame, cache: DataFrame, models: list[str], version: str = "extract-v1") -> tuple[DataFrame, DataFrame]:
+    """Proposals ``doc_id, window_id, half, seq, ...`` and rejected ``doc_id, window_id, half, reason`` (SEQ-4).
+
+    A window without a cached response is skipped; one whose response cannot be
+    used is halved once and its halves are probed; half -1 stands for the whole.
+    """
+    whole = windows.select(F.col("id").alias("window_id"), F.lit(-1).alias("half"), "doc_id", F.col("text").alias("prompt"))
+
+    def probed(df: DataFrame) -> DataFrame:
+        q = df.withColumn("id", F.struct("window_id", "half"))
+        r = probe_cache(q.select("id", "prompt"), cache, models, version)
+        return q.join(r, "id").withColumn("facts", parse_response("response"))
+
+    first = cut(probed(whole))
+    bad = first.where("response is not null and facts is null").select(F.col("window_id").alias("id"))
+    parts = halves(windows.join(bad, "id", "left_semi")).select("window_id", (F.col("window_index") % 10).alias("half"), F.col("text").alias("prompt"))
+    second = cut(probed(parts.join(windows.select(F.col("id").alias("window_id"), "doc_id"), "window_id").select(*whole.columns)))
+    split = parts.select("window_id").distinct()
+    done = first.where("facts is not null").unionByName(second.where("facts is not null"))
+    lost = first.where("facts is null").join(split, "window_id", "left_anti").unionByName(second.where("facts is null"))
+    f = done.select("doc_id", "window_id", "half", F.posexplode("facts").alias("seq", "f"))
+    return (f.select("doc_id", "window_id", "half", "seq", *[F.col(f"f.{c}") for c in (*_TEXTS, "qualifiers", "confidence")]),
+            lost.select("doc_id", "window_id", "half", F.when(F.col("response").isNull(), UNREAD).otherwise(UNUSABLE).alias("reason")))
+
+
+def completed(documents: DataFrame, rejected_rows: DataFrame) -> DataFrame:
+    """``doc_id, ingest_complete``: complete only if nothing was skipped (SEQ-5)."""
+    skipped = rejected_rows.where(F.col("reason").contains("no cached")).select("doc_id").distinct().withColumn("skipped", F.lit(True))
+    return documents.select("doc_id").join(skipped, "doc_id", "left").select("doc_id", F.col("skipped").isNull().alias("ingest_complete"))
+
+
+def to_ingest(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents whose content is not complete yet; complete ones are left alone (SEQ-6)."""
+    return documents.join(known.where("ingest_complete").select("sha256").distinct(), "sha256", "left_anti").select(*documents.columns)
+
+
+def summary(facts: DataFrame) -> DataFrame:
+    """``id, summary``: subject | metric | value unit | period X | sorted JSON qualifiers, empty parts dropped (SCL-10)."""
+    full = lambda c: F.nullif(collapse(c), F.lit(""))
+    value = full(F.concat_ws(" ", full(F.col("value_raw")), full(F.col("unit_raw"))))
+    q = F.when(F.size("qualifiers") > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries("qualifiers")))))
+    return facts.select("id", F.concat_ws(" | ", full(F.col("subject")), full(F.col("metric")), value, F.concat(F.lit("period "), full(F.col("period_raw"))), q).alias("summary"))

@@ -108,3 +108,8 @@ def four_cases(relations: DataFrame, facts: DataFrame, k: int = 1) -> DataFrame:
     out = r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     cross = out.groupBy("final_verdict").agg(F.max("is_cross").alias("any_cross"))
     return out.join(cross, "final_verdict").where("is_cross or not any_cross").select("final_verdict", "rank", "id", "is_cross", "confidence")
+
+
+def display(relations: DataFrame) -> DataFrame:
+    """``id, verdict, confidence``: as shown: spaces for underscores, two decimals (PRJ-8)."""
+    return relations.select("id", F.replace(F.coalesce("final_verdict", F.lit("unclassified")), F.lit("_"), F.lit(" ")).alias("verdict"), F.format_number("confidence", 2).alias("confidence"))

@@ -437,3 +437,46 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     arrivals.ingest_stream(spark, f"{d}/documents.parque[t]", docs.schema, store, f"{store}/progress").awaitTermination()
     keep = spark.read.parquet(f"{store}/documents").select("doc_id", "sha256")
     return spark.read.parquet(f"{store}/blocks").drop("epoch").join(keep, "doc_id").drop("doc_id")
+
+
+@query("select id, replace(coalesce(final_verdict, 'unclassified'), '_', ' ') as verdict, printf('%.2f', round(confidence, 2)) as confidence from relations")
+def display_relations(relations: DataFrame) -> DataFrame:
+    return views.display(relations)
+
+
+def _full(c: str) -> str:
+    return f"nullif({_COLLAPSE.format(c)}, '')"
+
+
+@query(f"select id, concat_ws(' | ', {_full('subject')}, {_full('metric')}, nullif(concat_ws(' ', {_full('value_raw')}, {_full('unit_raw')}), ''), 'period ' || {_full('period_raw')}, "
+       "case when cardinality(qualifiers) > 0 then '{' || array_to_string(list_transform(list_sort(map_keys(qualifiers)), lambda k: '\"' || k || '\":\"' || map_extract(qualifiers, k)[1] || '\"'), ',') || '}' end) as summary from facts")
+def fact_summaries(facts: DataFrame) -> DataFrame:
+    return grounding.summary(facts)
+
+
+def _cache(windows: DataFrame) -> DataFrame:
+    """Responses for the windows: usable for the first of a document, broken for the second, none for later ones."""
+    from ledgerloom.functions.text import cache_key
+
+    one = lambda t: F.to_json(F.struct(F.array(F.struct(F.substring(t, 1, 20).alias("subject"), F.lit("length").alias("metric"), F.length(t).alias("value_raw"), F.substring(t, 1, 60).alias("evidence_quote"), F.lit(0.5).alias("confidence"))).alias("facts")))
+    key = lambda t: cache_key(F.lit("model-b"), F.lit("extract-v1"), t)
+    good = windows.where("window_index = 0").select(key(F.col("text")).alias("key"), one(F.col("text")).alias("response"))
+    bad = windows.where("window_index = 1").select(key(F.col("text")).alias("key"), F.lit('{"facts": [{').alias("response"))
+    parts = ingest.halves(windows.where("window_index = 1")).select(key(F.col("text")).alias("key"), F.concat(F.lit("Here: "), one(F.col("text"))).alias("response"))
+    return good.unionByName(bad).unionByName(parts).groupBy("key").agg(F.max("response").alias("response"))
+
+
+@query("with h as (select id, doc_id, text, block_spans[1:len(block_spans) // 2] as sp, 0 as half from windows where window_index = 1 and len(block_spans) >= 2 union all "
+       "select id, doc_id, text, block_spans[len(block_spans) // 2 + 1:], 1 from windows where window_index = 1 and len(block_spans) >= 2) "
+       "select doc_id, id as window_id, -1 as half, cast(length(text) as varchar) as value_raw from windows where window_index = 0 "
+       "union all select doc_id, id, half, cast(sp[-1].e - sp[1].s as varchar) from h")
+def extract_with_recovery(windows: DataFrame) -> DataFrame:
+    done, _ = grounding.extract(windows, _cache(windows), ["model-a", "model-b"])
+    return done.select("doc_id", "window_id", "half", "value_raw")
+
+
+@query("select doc_id, id as window_id, case when window_index = 1 then 'unusable model output' else 'no cached response and no API key' end as reason from windows "
+       "where window_index > 1 or (window_index = 1 and coalesce(len(block_spans), 0) < 2)")
+def extract_rejected(windows: DataFrame) -> DataFrame:
+    _, lost = grounding.extract(windows, _cache(windows), ["model-a", "model-b"])
+    return lost.select("doc_id", "window_id", "reason")

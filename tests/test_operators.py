@@ -129,3 +129,21 @@ def test_like_keeps_wildcards(spark):
 
 def test_tables_read(spark):
     assert table(spark, "/root/testdata/sf0.001", "source_info").count() == 24
+
+
+def test_extract_recovers_by_halving(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.text import cache_key
+
+    w = spark.createDataFrame([(1, 7, 0, "alpha\nbeta", [1, 2], [(0, 5), (6, 10)]), (2, 7, 1, "solo", [3], [(0, 4)]), (3, 7, 2, "none", [4], None)],
+                              "id bigint, doc_id bigint, window_index int, text string, block_ids array<bigint>, block_spans array<struct<s:int,e:int>>")
+    cache = spark.createDataFrame([("alpha\nbeta", "broken {"), ("alpha", 'ok {"facts":[{"subject":"A","metric":"m","value_raw":81415.38,"qualifiers":["x"],"confidence":"0.5"}, 3]}'), ("solo", "broken")], "t string, response string")
+    cache = cache.select(cache_key(F.lit("m2"), F.lit("v"), F.col("t")).alias("key"), "response")
+    done, lost = grounding.extract(w, cache, ["m1", "m2"], "v")
+    assert [(r.window_id, r.half, r.subject, r.value_raw, r.qualifiers, r.confidence) for r in done.collect()] == [(1, 0, "A", "81415.4", {}, 0.5)]
+    assert {(r.window_id, r.half, r.reason) for r in lost.collect()} == {(1, 1, grounding.UNREAD), (2, -1, grounding.UNUSABLE), (3, -1, grounding.UNREAD)}
+    d = spark.createDataFrame([(7, "x"), (8, "y")], "doc_id bigint, sha256 string")
+    flags = grounding.completed(d, lost)
+    assert {tuple(r) for r in flags.collect()} == {(7, False), (8, True)}
+    assert [r.doc_id for r in grounding.to_ingest(d, d.join(flags, "doc_id")).collect()] == [7]
