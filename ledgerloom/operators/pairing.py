@@ -142,3 +142,9 @@ def capped_by_metric(facts: DataFrame, cap: int = MAX_PAIRS) -> DataFrame:
 
     f = facts.where("metric_id is not null and metric_id != ''").select("metric_id", "id", F.col("canon_unit").alias("unit"))
     return f.groupBy("metric_id").applyInPandas(run, "fact_a bigint, fact_b bigint")
+
+
+def affected(facts: DataFrame, new_facts: DataFrame) -> DataFrame:
+    """Facts that can form pairs with new ones: those of the metrics that new facts touch (STR-3)."""
+    touched = new_facts.where("metric_id is not null and metric_id != ''").select("metric_id").distinct()
+    return facts.join(touched, "metric_id", "left_semi")

@@ -113,3 +113,26 @@ def four_cases(relations: DataFrame, facts: DataFrame, k: int = 1) -> DataFrame:
 def display(relations: DataFrame) -> DataFrame:
     """``id, verdict, confidence``: as shown: spaces for underscores, two decimals (PRJ-8)."""
     return relations.select("id", F.replace(F.coalesce("final_verdict", F.lit("unclassified")), F.lit("_"), F.lit(" ")).alias("verdict"), F.format_number("confidence", 2).alias("confidence"))
+
+
+def document_quality(documents: DataFrame, facts: DataFrame, rejected: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``doc_id, facts, dated, percent_dated, rejected, gaps`` of each document (AGG-5, AGG-12)."""
+    f = facts.groupBy("doc_id").agg(F.count("*").alias("facts"), F.count_if(F.col("period_start").isNotNull()).alias("dated"))
+    n = lambda df, c: df.groupBy("doc_id").agg(F.count("*").alias(c))
+    d = documents.select("doc_id").join(f, "doc_id", "left").join(n(rejected, "rejected"), "doc_id", "left").join(n(gaps, "gaps"), "doc_id", "left").fillna(0)
+    return d.select("doc_id", "facts", "dated", F.round(100.0 * F.col("dated") / F.greatest("facts", F.lit(1)), 4).alias("percent_dated"), "rejected", "gaps")
+
+
+def by_id(df: DataFrame, key: str, value: object) -> DataFrame:
+    """Point lookup; no row where there is none (FLT-4)."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def latest(df: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """Last n rows by an order; a bounded sort (SRT-3)."""
+    return df.orderBy(F.desc(order)).limit(n)
+
+
+def rejected_page(rejected: DataFrame, documents: DataFrame, n: int = 200) -> DataFrame:
+    """First n rejected proposals whose quote was not found (JOIN-4, FLT-6, SRT-4)."""
+    return rejected.where(F.lower("reason").contains("not found")).orderBy("evidence_id").limit(n).join(documents.select("doc_id", "filename"), "doc_id")

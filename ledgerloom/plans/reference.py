@@ -480,3 +480,21 @@ def extract_with_recovery(windows: DataFrame) -> DataFrame:
 def extract_rejected(windows: DataFrame) -> DataFrame:
     _, lost = grounding.extract(windows, _cache(windows), ["model-a", "model-b"])
     return lost.select("doc_id", "window_id", "reason")
+
+
+@query(f"select d.doc_id, coalesce(f.n, 0) as facts, coalesce(f.dated, 0) as dated, round(100.0 * coalesce(f.dated, 0) / greatest(coalesce(f.n, 0), 1), 4) as percent_dated, coalesce(r.n, 0) as rejected, coalesce(g.n, 0) as gaps "
+       f"from documents d left join (select doc_id, count(*) as n, count(period_start) as dated from facts group by 1) f on f.doc_id = d.doc_id left join (select f.doc_id, count(*) as n from ({_REJECTED}) x join facts f on f.id = x.fact_id group by 1) r on r.doc_id = d.doc_id "
+       f"left join (select doc_id, count(*) as n from ({_GAPS}) group by 1) g on g.doc_id = d.doc_id")
+def document_quality(documents: DataFrame, facts: DataFrame, blocks: DataFrame, evidence: DataFrame) -> DataFrame:
+    rej = grounding.rejected(grounding.quoted_texts(evidence, blocks), facts).join(facts.select(F.col("id").alias("fact_id"), "doc_id"), "fact_id")
+    return views.document_quality(documents, facts, rej, ingest.page_gaps(documents, blocks))
+
+
+@query("select id, fact_a, fact_b, final_verdict from relations order by id desc limit 5")
+def latest_relations(relations: DataFrame) -> DataFrame:
+    return views.latest(relations.select("id", "fact_a", "fact_b", "final_verdict"), "id")
+
+
+@query(f"select f.id, f.subject, d.filename, {_QUOTE} as quote from facts f join documents d on d.doc_id = f.doc_id left join {_ONE} e on e.fact_id = f.id order by f.id limit 200 offset 200")
+def facts_page(facts: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:
+    return views.facts_search(facts, documents, evidence, offset=200).select("id", "subject", "filename", "quote")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerloom.sources.sinks import new_documents
@@ -36,3 +36,24 @@ def ingest_stream(spark: SparkSession, incoming: str, schema: StructType, store:
         text_blocks(fresh).write.mode("overwrite").parquet(f"{store}/blocks/epoch={epoch}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Last progress of each stream, for status pages (STR-4, SNK-10)."""
+
+    def __init__(self) -> None:
+        self.state: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802 - Spark's names
+        self.state[str(event.id)] = {"stage": "started", "done": 0, "error": None}
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        p = event.progress
+        s = self.state.setdefault(str(p.id), {"done": 0, "error": None})
+        s.update(stage="running", batch=p.batchId, done=s["done"] + p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        self.state.setdefault(str(event.id), {"done": 0, "error": None})["stage"] = "idle"
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        self.state.setdefault(str(event.id), {"done": 0}).update(stage="ended", error=event.exception)

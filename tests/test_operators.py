@@ -147,3 +147,38 @@ def test_extract_recovers_by_halving(spark):
     flags = grounding.completed(d, lost)
     assert {tuple(r) for r in flags.collect()} == {(7, False), (8, True)}
     assert [r.doc_id for r in grounding.to_ingest(d, d.join(flags, "doc_id")).collect()] == [7]
+
+
+def test_provider_rotation():
+    from ledgerloom.operators.provider import call, sort_error
+
+    assert [sort_error(RuntimeError(x)) for x in ("429 slow down", "503 Unavailable", "bad prompt")] == ["quota", "retry", "fatal"]
+    seen, waits, spent = [], [], set()
+
+    def provider(prompt, key, model):
+        seen.append((key, model))
+        if key == "k1":
+            raise RuntimeError("quota")
+        if len(seen) == 2:
+            raise TimeoutError("timeout")
+        return prompt.upper()
+
+    assert call(provider, "hi", [("k1", "m"), ("k2", "m")], spent, wait=waits.append) == ("m", "HI", None)
+    assert spent == {("k1", "m")} and waits == [2.0] and seen == [("k1", "m"), ("k2", "m"), ("k2", "m")]
+    assert call(provider, "hi", [("k1", "m")], spent)[2].startswith("every key")
+
+
+def test_complete_and_groups(spark):
+    from ledgerloom.operators import provider
+
+    p = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, prompt string")
+    cache = provider.complete(p, spark.createDataFrame([], "key string, response string"), lambda: lambda t, k, m: t + m, ["k"], ["m"], "v")
+    got = {r.id: r for r in cache.collect()}
+    assert got[1].response == "am" and got[1].error is None and len(got[1].key) == 64
+    assert provider.complete(p, cache.select("key", "response"), lambda: None, ["k"], ["m"], "v").count() == 0
+    t = spark.createDataFrame([("metric", x) for x in ("Rev", "Sales", "Odd One", "", None)], "kind string, raw string")
+    known = spark.createDataFrame([("metric", "Rev", "revenue", "Revenue")], "kind string, raw string, canon_id string, label string")
+    groups = spark.createDataFrame([("metric", 0, "x", "X", ["Sales"]), ("metric", 1, "revenue", "Revenue", ["Sales", "Rev"]), ("metric", 2, None, "Z", ["Odd One"])], "kind string, seq int, canon_id string, label string, members array<string>")
+    assert {(r.raw, r.canon_id) for r in provider.assign_groups(t, known, groups).collect()} == {("Rev", "revenue"), ("Sales", "revenue"), ("Odd One", "odd_one")}
+    prompts = provider.term_prompts(t, known, "{kind}|{terms}|{existing}", 1).collect()
+    assert {r.prompt for r in prompts} == {"metric|- Sales|-: revenue: Revenue", "metric|- Odd One|-: revenue: Revenue"}
