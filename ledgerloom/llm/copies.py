@@ -38,7 +38,8 @@ def keyed_claims(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     f1, f2 = hash128(F.col("doc_id"), _joined("subject"), F.lit("|"), _joined("metric"), F.lit("|"), _joined("value_raw"))
     f = facts.where("id is not null").select(F.col("id").alias("fact_id"), f1.alias("f1"), f2.alias("f2"))
     k1, k2 = hash128(F.col("f1"), F.col("q1"), F.col("f2"), F.col("q2"))
-    return f.join(e, "fact_id").select("fact_id", k1.alias("k1"), k2.alias("k2"))
+    # the join's partitioning serves the distinct, so repeated rows go without a shuffle
+    return f.join(e, "fact_id").select("fact_id", k1.alias("k1"), k2.alias("k2")).distinct()
 
 
 def claim_groups(claims: DataFrame) -> DataFrame:

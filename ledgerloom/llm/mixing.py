@@ -29,8 +29,9 @@ MAX_SOURCES = 100_000
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, n_tokens`` of documents with tokens and a source."""
-    return bpe.count_tokens(documents.where("doc_id is not null and source is not null"), "doc_id", "source").where("n_tokens > 0")
+    """``doc_id, source, n_tokens`` of documents with tokens and a source, repeated rows once."""
+    n = bpe.count_tokens(documents.where("doc_id is not null and source is not null"), "doc_id", "source").where("n_tokens > 0")
+    return n.groupBy("doc_id").agg(F.max(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.source", "d.n_tokens")
 
 
 class Plan:

@@ -67,4 +67,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_lines": p1_lines, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found,
            "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shards": p9_shards,
            "p10_found": p10_found}
-ORACLE: dict[str, str] = {}
+_LINE = r"regexp_replace(regexp_replace(lower(b.text), '[^\p{L}\p{M}\p{Nd}]+', '', 'g'), '\p{Nd}+', '0', 'g')"
+ORACLE: dict[str, str] = {
+    "p1_found": f"with b as (select b.id, b.doc_id, d.source, {_LINE} as k from blocks b join documents d on d.doc_id = b.doc_id where d.source is not null and regexp_matches(b.text, '[^\\s]')), "
+                "n as (select source, count(distinct doc_id) as n from b group by 1), f as (select b.source, b.k from b join n on n.source = b.source group by 1, 2 having count(distinct doc_id) >= 3 and 5 * count(distinct doc_id) >= any_value(n.n)) "
+                "select b.id as block_id from b join f on f.source = b.source and f.k = b.k",
+    "p2_found": "select 'window' as item_kind, id as item_id from windows where length(text) > 4000 union all select 'block', id from blocks where length(text) > 4000",
+    "p5_found": "with recursive p as (select least(fact_a, fact_b) as a, greatest(fact_a, fact_b) as b, arg_max(coalesce(final_verdict, ''), id) as v from relations where fact_a <> fact_b group by 1, 2), "
+                "e as (select a as x, b as y from p where v = 'corroborates' union select b, a from p where v = 'corroborates'), r as (select x as fact_id, x as g from e union select e.y, r.g from r join e on e.x = r.fact_id) "
+                "select fact_id, min(g) as group_id from r group by 1",
+}
