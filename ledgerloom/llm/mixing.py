@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import zlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe
@@ -24,6 +24,8 @@ BLOCK_TOKENS = 256
 #: Documents of one source that share a bucket of its order, about.
 BUCKET_DOCS = 2000
 SHARD_SLOTS = 4096
+#: Slots that one task makes at a time.
+CHUNK_SLOTS = 1_000_000
 #: More targets than this are refused: the plan of the mix is made on the driver.
 MAX_SOURCES = 100_000
 
@@ -35,7 +37,7 @@ def sized(documents: DataFrame) -> DataFrame:
 
 
 class Plan:
-    """Slots and blocks of every source."""
+    """Slots and blocks of every source; one small row per source on the driver."""
 
     def __init__(self, sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> None:
         t = (targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source")
@@ -47,7 +49,7 @@ class Plan:
         #: Largest total at which every source that has documents reaches its share.
         self.total = min((r.cap * r.tokens / r.share for r in rows), default=0.0)
         self.block_tokens = block_tokens
-        self.rows, first = [], 0
+        out, first = [], 0
         for r in rows:
             blocks = max(1, math.ceil(r.tokens / block_tokens))
             # the last block is short, so whole passes are counted in tokens
@@ -55,17 +57,11 @@ class Plan:
             passes = min(int(quota // r.tokens), r.cap)
             slots = passes * blocks + (min(blocks, round((quota - passes * r.tokens) / block_tokens)) if passes < r.cap else 0)
             shift = zlib.crc32(f"shift {r.source}".encode()) % blocks
-            buckets = max(1, r.docs // BUCKET_DOCS)
-            self.rows.append((r.source, blocks, slots, first, shift, buckets))
+            out.append((r.source, blocks, slots, first, shift, max(1, r.docs // BUCKET_DOCS)))
             first += slots
         self.slots = first
-
-    def pick(self, source: Column, k: int, default: int = 0) -> Column:
-        """A number of the plan as a column of the source."""
-        if not self.rows:
-            return F.lit(default)
-        m = F.create_map(*[F.lit(x) for r in self.rows for x in (r[0], r[k])])
-        return F.coalesce(F.try_element_at(m, source), F.lit(default))
+        #: ``source, blocks, slots, first, shift, buckets``; at most MAX_SOURCES rows, so it may be broadcast.
+        self.table = sizes.sparkSession.createDataFrame(out, "source string, blocks bigint, slots bigint, first bigint, shift bigint, buckets bigint")
 
 
 def placed(sizes: DataFrame, plan: Plan) -> DataFrame:
@@ -74,35 +70,25 @@ def placed(sizes: DataFrame, plan: Plan) -> DataFrame:
     Positions are exact prefix sums in two levels: within a bucket of a
     source's pseudorandom order, and over the buckets' sums.
     """
-    known = [r[0] for r in plan.rows]
     h = F.xxhash64("doc_id", F.lit("order"))
-    d = sizes.where(F.col("source").isin(known)) if known else sizes.where("false")
-    d = d.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftright("h", 16), plan.pick(F.col("source"), 5, 1)))
+    d = sizes.join(F.broadcast(plan.table.select("source", "buckets")), "source").withColumn("h", h)
+    d = d.withColumn("bucket", F.pmod(F.shiftright("h", 16), F.col("buckets"))).drop("buckets")
     sums = d.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     before = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")).drop("in_bucket")
-    w = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at = d.withColumn("inside", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).join(before, ["source", "bucket"])
     middle = F.col("before") + F.col("inside") + F.expr("n_tokens div 2")
     return at.select("doc_id", "source", "n_tokens", F.floor(middle / F.lit(plan.block_tokens)).alias("block"))
 
 
-def slots(sizes: DataFrame, plan: Plan) -> DataFrame:
-    """``slot, shard, source, block``: one row per slot of the mix."""
-    spark = sizes.sparkSession
-    g = spark.range(0, plan.slots).select(F.col("id").alias("slot"))
-    if not plan.rows:
-        return g.select("slot", F.lit(0).cast("bigint").alias("shard"), F.lit("").alias("source"), F.lit(0).cast("bigint").alias("block"))
+def slots(plan: Plan) -> DataFrame:
+    """``slot, shard, source, block``: one row per slot of the mix, made in chunks spread over the cluster."""
     n = max(plan.slots, 1)
     a = next(x for x in range(int(n * 0.618) | 1, 2 * n + 3) if math.gcd(x, n) == 1)
-    firsts = F.array(*[F.lit(r[3]) for r in plan.rows])
-    names = F.array(*[F.lit(r[0]) for r in plan.rows])
-    # sources without a slot begin where the next one begins: the last that begins at or before the slot counts
-    src = F.element_at(names, F.size(F.filter(firsts, lambda x: x <= F.col("slot"))))
-    s = g.withColumn("source", src)
-    j = F.col("slot") - plan.pick(F.col("source"), 3)
-    blocks = plan.pick(F.col("source"), 1, 1)
+    chunks = plan.table.where("slots > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK_SLOTS})"))).repartition("source", "chunk")
+    s = chunks.withColumn("j", F.explode(F.expr(f"sequence(chunk * {CHUNK_SLOTS}, least((chunk + 1) * {CHUNK_SLOTS}, slots) - 1)"))).withColumn("slot", F.expr("first + j"))
     return s.select("slot", F.expr(f"cast(pmod(cast(slot as decimal(38,0)) * {a}, {n}) as bigint) div {SHARD_SLOTS}").alias("shard"),
-                    "source", F.pmod(j + plan.pick(F.col("source"), 4), blocks).cast("bigint").alias("block"))
+                    "source", F.expr("pmod(j + shift, blocks)").alias("block"))
 
 
 def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -114,7 +100,7 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """
     sizes = cut(sized(documents))
     plan = Plan(sizes, targets)
-    used = slots(sizes, plan).groupBy("source", "block").agg(F.count("*").alias("copies"))
+    used = slots(plan).groupBy("source", "block").agg(F.count("*").alias("copies"))
     return placed(sizes, plan).join(used, ["source", "block"]).select("doc_id", "source", "n_tokens", "copies")
 
 
@@ -130,4 +116,4 @@ def shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
 def shard_counts(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """``shard, source, n_slots``: the source counts drawn for each output shard."""
     sizes = cut(sized(documents))
-    return slots(sizes, Plan(sizes, targets)).groupBy("shard", "source").agg(F.count("*").alias("n_slots"))
+    return slots(Plan(sizes, targets)).groupBy("shard", "source").agg(F.count("*").alias("n_slots"))
