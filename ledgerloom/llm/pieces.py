@@ -1,7 +1,7 @@
 """Oversized items cut at natural boundaries (problem 2).
 
 An item becomes a tree: sections under headings, blocks or paragraphs, lines
-and list items, sentences, words, characters.  Sibling subtrees are merged up
+and list items, sentences, words, marks, characters.  Sibling subtrees are merged up
 to the limit, and only nodes over the limit are descended into.  Each piece
 but the first repeats the end of the one before from a natural start.
 """
@@ -25,6 +25,7 @@ _PARAGRAPH = re.compile(r"\n\s*\n")
 _LINE = re.compile(r"\r\n|\r|\n| | ")
 _SENTENCE = re.compile(r"[.!?…।॥。！？]+[\"'”’)\]]*\s+|[。！？]")
 _WORD = re.compile(r"\s+")
+_MARK = re.compile(r"[;,|/\\&]+")  # ends words where no space does
 
 
 def _ends(text: str, s: int, e: int, level: int, spans: list[tuple[int, int]] | None) -> list[int]:
@@ -33,8 +34,8 @@ def _ends(text: str, s: int, e: int, level: int, spans: list[tuple[int, int]] |
         cut = [m.start() for m in _HEADING.finditer(text, s, e) if m.start() > s and (m.start() == 0 or text[m.start() - 1] in "\r\n")]
     elif level == 1:
         cut = [a for a, _ in spans if s < a < e] if spans else [m.end() for m in _PARAGRAPH.finditer(text, s, e)]
-    elif level in (2, 3, 4):
-        cut = [m.end() for m in (_LINE, _SENTENCE, _WORD)[level - 2].finditer(text, s, e)]
+    elif level in (2, 3, 4, 5):
+        cut = [m.end() for m in (_LINE, _SENTENCE, _WORD, _MARK)[level - 2].finditer(text, s, e)]
     else:
         return []
     cut = [c for c in cut if s < c < e]
@@ -45,7 +46,7 @@ def _ends(text: str, s: int, e: int, level: int, spans: list[tuple[int, int]] |
 def _pack(text: str, s: int, e: int, level: int, limit: int, spans: list[tuple[int, int]] | None) -> list[tuple[int, int]]:
     if e - s <= limit:
         return [(s, e)]
-    while level <= 4:
+    while level <= 5:
         ends = _ends(text, s, e, level, spans)
         if len(ends) > 1:
             break
@@ -56,7 +57,7 @@ def _pack(text: str, s: int, e: int, level: int, limit: int, spans: list[tuple[i
     open_ = False  # the last piece is a run of whole siblings that may grow
     for end in ends:
         if end - s > limit:
-            if open_ and (s - out[-1][0]) * SCRAP < limit:
+            if open_ and level < 4 and (s - out[-1][0]) * SCRAP < limit:
                 s = out.pop()[0]  # a heading or other scrap goes with what follows it
             out += _pack(text, s, end, level + 1, limit, spans)
             open_ = False
