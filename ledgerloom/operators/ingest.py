@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,50 +40,81 @@ def page_gaps(documents: DataFrame, blocks: DataFrame, min_chars: int = GAP_MIN_
         F.concat(F.lit("only "), F.col("chars").cast("string"), F.lit(" characters extracted; likely scanned or graphical"))).alias("reason"))
 
 
+class WindowFold:
+    """Running fold of one document's blocks; holds no more than the open window."""
+
+    def __init__(self, window_chars: int, overlap: int) -> None:
+        self.window_chars, self.overlap = window_chars, overlap
+        self.open: list[tuple[int, str]] = []
+        self.size = 0
+
+    def add(self, key: int, text: str) -> list[tuple[int, str]] | None:
+        """Take a block; the window it closes, if any.
+
+        A window closes when the block would exceed the length; trailing whole
+        blocks stay until the overlap is reached, and may exceed it.
+        """
+        closed = None
+        if self.open and self.size + len(text) > self.window_chars:
+            closed, keep, self.size = self.open, [], 0
+            for part in reversed(closed):
+                if self.size >= self.overlap:
+                    break
+                keep.append(part)
+                self.size += len(part[1])
+            self.open = keep[::-1]
+        self.open.append((key, text))
+        self.size += len(text)
+        return closed
+
+
 def fold_windows(parts: list[str], window_chars: int, overlap: int) -> list[list[int]]:
     """Positions of the blocks of each window of one document."""
-    out: list[list[int]] = []
-    cur: list[int] = []
-    size = 0
-    for i, p in enumerate(parts):
-        if cur and size + len(p) > window_chars:
-            out.append(list(cur))
-            keep, size = [], 0
-            for k in reversed(cur):
-                if size >= overlap:
-                    break
-                keep.append(k)
-                size += len(parts[k])
-            cur = keep[::-1]
-        cur.append(i)
-        size += len(p)
-    if cur:
-        out.append(cur)
-    return out
+    fold = WindowFold(window_chars, overlap)
+    out = [w for i, p in enumerate(parts) if (w := fold.add(i, p))]
+    return [[k for k, _ in w] for w in (*out, fold.open) if w]
 
 
 def build_windows(blocks: DataFrame, window_chars: int = WINDOW_CHARS, overlap: int = WINDOW_OVERLAP) -> DataFrame:
     """``doc_id, window_index, text, block_ids, block_spans, density`` (SEQ-1, SEQ-2).
 
     Whole blocks are joined by one newline; neighbours share trailing blocks
-    until the overlap is reached.  Furniture and null texts are left out.  One
-    document is one sequential fold; documents spread over the cluster.
+    until the overlap is reached.  Furniture and null texts are left out.  Each
+    document's blocks stream through one fold in reading order, so a task never
+    holds more than a batch and an open window; documents spread over the cluster.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_no", "block_index", "id"], kind="stable")
-        parts, ids = pdf["text"].tolist(), pdf["id"].tolist()
-        rows = []
-        for n, w in enumerate(fold_windows(parts, window_chars, overlap)):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, n, fold = None, 0, WindowFold(window_chars, overlap)
+        rows: list[tuple] = []
+
+        def emit(window: list[tuple[int, str]]) -> None:
+            nonlocal n
             spans, at = [], 0
-            for k in w:
-                spans.append({"s": at, "e": at + len(parts[k])})
-                at += len(parts[k]) + 1
-            rows.append((pdf["doc_id"].iloc[0], n, "\n".join(parts[k] for k in w), [ids[k] for k in w], spans))
-        return pd.DataFrame(rows, columns=["doc_id", "window_index", "text", "block_ids", "block_spans"])
+            for _, t in window:
+                spans.append({"s": at, "e": at + len(t)})
+                at += len(t) + 1
+            rows.append((doc, n, "\n".join(t for _, t in window), [k for k, _ in window], spans))
+            n += 1
+
+        columns = ["doc_id", "window_index", "text", "block_ids", "block_spans"]
+        for b in batches:
+            for d, key, t in zip(b["doc_id"].tolist(), b["id"].tolist(), b["text"].tolist()):
+                if d != doc:
+                    if fold.open:
+                        emit(fold.open)
+                    doc, n, fold = d, 0, WindowFold(window_chars, overlap)
+                if (w := fold.add(key, t)) is not None:
+                    emit(w)
+            yield pd.DataFrame(rows, columns=columns)
+            rows.clear()
+        if fold.open:
+            emit(fold.open)
+            yield pd.DataFrame(rows, columns=columns)
 
     b = blocks.where("doc_id is not null and text is not null and not coalesce(is_boilerplate, false)").select("doc_id", "id", "page_no", "block_index", "text")
-    w = b.groupBy("doc_id").applyInPandas(run, "doc_id bigint, window_index int, text string, block_ids array<bigint>, block_spans array<struct<s:int,e:int>>")
+    s = b.repartition("doc_id").sortWithinPartitions("doc_id", "page_no", "block_index", "id").select("doc_id", "id", "text")
+    w = s.mapInPandas(run, "doc_id bigint, window_index int, text string, block_ids array<bigint>, block_spans array<struct<s:int,e:int>>")
     return w.withColumn("density", density(F.col("text")))
 
 

@@ -78,6 +78,20 @@ def test_windows_fold():
     assert ingest.fold_windows(["a" * 50], 10, 5) == [[0]] and ingest.fold_windows([], 10, 5) == []
 
 
+def test_windows_table(spark):
+    r = random.Random(8)
+    rows = [(i, i % 7, r.randrange(1, 4), i, "x" * r.choice([0, 5, 60, 300]), r.random() < 0.1) for i in range(400)] + [(900, 3, 1, 1, None, None), (901, None, 1, 1, "y", False)]
+    b = spark.createDataFrame(rows, "id bigint, doc_id bigint, page_no int, block_index int, text string, is_boilerplate boolean")
+    got = {(w.doc_id, w.window_index): w for w in ingest.build_windows(b, 500, 80).collect()}
+    for d in range(7):
+        own = sorted([x for x in rows if x[1] == d and x[4] is not None and not x[5]], key=lambda x: (x[2], x[3], x[0]))
+        want = [[own[k][0] for k in w] for w in ingest.fold_windows([x[4] for x in own], 500, 80)]
+        assert [list(got[d, n].block_ids) for n in range(len(want))] == want and (d, len(want)) not in got
+    texts_ = {x[0]: x[4] for x in rows}
+    assert all([w.text[s.s:s.e] for s in w.block_spans] == [texts_[k] for k in w.block_ids] for w in got.values())
+    assert ingest.build_windows(b.where("false")).count() == 0
+
+
 def test_blocks_gaps_furniture(spark):
     d = spark.createDataFrame([(1, " a \n\n b", 2), (2, None, None), (3, "", 0)], "doc_id bigint, text string, page_count int")
     assert [(r.block_index, r.text) for r in texts.text_blocks(d).collect()] == [(0, "a"), (2, "b")]
