@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.keys import hash128, line_key
-from ledgerloom.llm.site_lines import bitmaps, frequent_lines
+from ledgerloom.llm.site_lines import MIN_SHARE, bitmaps, frequent_lines
 from ledgerloom.session import cut
 
 # Parameters of the decision.
@@ -32,9 +32,11 @@ LINKED = 0.15             # share of characters in links and tags
 PHRASE = 0.45             # share of words in one phrase
 MAX_PHRASE = 4            # words of a phrase that counts as one
 REPEATS = 3
-#: Site lines, here, stand in at least this share of a source's documents.
+#: Site lines, here, stand in at least this share of a source's distinct texts; below problem 1's share a page is judged with and without them.
 SITE_SHARE = 0.05
 SITE_DOCS = 3
+#: A page of which problem 1's lines leave less than this share of the characters is judged on all of it.
+LEFT = 0.1
 #: Sources up to this many have their site lines broadcast; an entry holds at most 20 lines per line of an average document.
 MAX_BROADCAST_SOURCES = 5_000
 SALTS = 64
@@ -164,14 +166,23 @@ def _lines(text: Column) -> Column:
 
 
 def own_text(documents: DataFrame) -> DataFrame:
-    """``doc_id, body``: the text without title and site lines, lines joined by one line end."""
+    """``doc_id, body, wide``: the text without title and site lines, lines joined by one line end.
+
+    Copies of a text count as one in the count of site lines.  ``wide`` is the
+    text without those site lines only that stand in problem 1's share, or with
+    all of them where they make up the page; null where it is ``body``.
+    """
     d = documents.select("doc_id", "source", "title", "text").where("text is not null")
-    k1, k2 = hash128(F.col("key"))
-    lines = (d.where("source is not null and doc_id is not null").select("doc_id", "source", F.explode(_lines(F.col("text"))).alias("line"))
-             .select("doc_id", "source", line_key(F.col("line")).alias("key")).where("key != ''").select("doc_id", "source", k1.alias("k1"), k2.alias("k2")))
-    maps = cut(bitmaps(lines))
+    # the keys of each distinct text of a source once, however often it is uploaded; its smallest doc_id stands for it
+    keys = F.filter(F.transform(_lines(F.col("text")), line_key), lambda k: k != "")
+    h1, h2 = hash128(F.col("text"))
+    texts = (d.where("source is not null and doc_id is not null")
+             .select("doc_id", "source", h1.alias("h1"), h2.alias("h2"), F.transform(keys, lambda k: F.struct(*[h.alias(n) for h, n in zip(hash128(k), ("k1", "k2"))])).alias("keys"))
+             .groupBy("source", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys")))
+    maps = cut(bitmaps(texts.select("doc_id", "source", F.inline("keys"))))
     per = maps.groupBy("source", "word").agg(F.bit_or("bits").alias("bits")).groupBy("source").agg(F.sum(F.bit_count("bits")).alias("source_docs"))
-    site = cut(frequent_lines(maps, per, SITE_DOCS, SITE_SHARE).groupBy("source").agg(F.collect_set("k1").alias("site")))
+    common = F.when(F.col("n_docs") >= F.ceil(F.col("source_docs") * F.lit(MIN_SHARE) - 1e-9), F.col("k1"))
+    site = cut(frequent_lines(maps, per, SITE_DOCS, SITE_SHARE).join(per, "source").groupBy("source").agg(F.collect_set("k1").alias("site"), F.collect_set(common).alias("common")))
     if site.count() <= MAX_BROADCAST_SOURCES:
         j = d.join(F.broadcast(site), "source", "left")
     else:
@@ -180,22 +191,29 @@ def own_text(documents: DataFrame) -> DataFrame:
     # each line with its key, once; lines without letters or digits have none
     keyed = F.filter(F.transform(_lines(F.col("text")), lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))), lambda x: x["key"] != "")
     title = F.coalesce(line_key(F.col("title")), F.lit(""))
-    rest = F.filter("lines", lambda x: (x["key"] != F.col("head")) & ~F.coalesce(F.array_contains("site", F.xxhash64(x["key"])), F.lit(False)))
     # without a title the first line is one
     j = j.withColumn("lines", keyed).withColumn("head", F.when(title != "", title).otherwise(F.coalesce(F.try_element_at("lines", F.lit(1))["key"], F.lit(""))))
-    return j.select("doc_id", F.array_join(F.transform(rest, lambda x: x["line"]), "\n").alias("body"))
+    j = j.withColumn("own", F.filter("lines", lambda x: x["key"] != F.col("head")))
+    j = j.withColumn("own", F.transform(F.col("own"), lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["key"]).alias("k1"))))
+    without = lambda c: F.filter("own", lambda x: ~F.coalesce(F.array_contains(c, x["k1"]), F.lit(False)))
+    join = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
+    j = j.select("doc_id", join(F.col("own")).alias("whole"), join(without("site")).alias("body"), join(without("common")).alias("wide"))
+    wide = F.when(F.length("wide") < F.length("whole") * LEFT, F.col("whole")).otherwise(F.col("wide"))
+    return j.select("doc_id", "body", F.nullif(wide, F.col("body")).alias("wide"))
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """``doc_id`` of pages that are mostly keywords, tags, links or one repeated phrase.
 
     Null, empty and very short texts are no cases.  Documents without a source
-    have no site lines.  Copies of a text under other ids are judged alike.
+    have no site lines.  Copies of a text under other ids are judged alike and
+    make no site lines of its own lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([is_case(measure(t)) for t in b.column(1).to_pylist()], pa.bool_())
+            texts = zip(b.column(1).to_pylist(), b.column(2).to_pylist())
+            keep = pa.array([is_case(measure(t)) or w is not None and is_case(measure(w)) for t, w in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0)], names=["doc_id"]).filter(keep)
 
     return own_text(documents).mapInArrow(run, "doc_id bigint")

@@ -275,6 +275,20 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(d.where("false")).count() == 0
 
 
+def _prose(i):
+    return f"Note {chr(97 + i % 26)}{chr(97 + i // 26)}\n" + "\n".join(f"{s}{chr(97 + i % 26)}{chr(97 + i // 26)}." for s in PROSE.split(".") if s)
+
+
+def test_copies_and_spam_sites_keep_their_lines(spark):
+    listed = "cheap loans, gold rate, stock tips, home loan, credit card\n" * 6
+    rows = [(i, "s", "Note", _prose(i)) for i in range(40)]
+    rows += [(100 + i, "s", "Offers", "Offers\n" + listed) for i in range(3)]  # one page, uploaded three times
+    rows += [(200 + i, "spam", "Offers", f"Offers\n{listed}New {chr(97 + i)}") for i in range(4)]  # lines of the whole site
+    rows += [(300 + i, "t", "Note", _prose(i)) for i in range(40)] + [(400 + i, "t", "Offers", f"Offers\n{listed}All in one place {chr(97 + i)}.") for i in range(4)]  # in a tenth of the site
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, title string, text string")
+    assert {x.doc_id for x in stuffing.stuffed_pages(d).collect()} == {*range(100, 103), *range(200, 204), *range(400, 404)}
+
+
 # --- all ---------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
