@@ -71,5 +71,16 @@ def copies(facts: DataFrame, evidence: DataFrame, hot_rows: int = HOT_ROWS) -> D
 
 
 def claim_records(facts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``first_id, copies``: one record per claim with the number of its copies (1: no other)."""
+    """``first_id, copies``: one record per claim with evidence, with the number of its copies (1: no other)."""
     return claim_groups(keyed_claims(facts, evidence)).groupBy("first_id").agg(F.max("n").alias("copies"))
+
+
+def all_records(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``first_id, copies``: ``claim_records``, and each fact without a quote as a record of its own.
+
+    A fact without evidence or with null quotes only is no copy of another, so
+    its copies are 1; a repeated row counts once, a null id is no fact.
+    """
+    quoted = evidence.where("quote is not null").select(F.col("fact_id").alias("first_id"))
+    bare = facts.where("id is not null").select(F.col("id").alias("first_id")).join(quoted, "first_id", "left_anti").distinct()
+    return claim_records(facts, evidence).unionByName(bare.withColumn("copies", F.lit(1).cast("bigint")))

@@ -159,6 +159,21 @@ def test_copies(spark, hot):
     assert copies.copies(f.where("false"), e).count() == 0
 
 
+def test_records_of_facts_without_a_quote(spark):
+    f = [(1, 1, "Acme", "m", "5"), (2, 1, "acme", "m", "5"), (8, 1, "no quote", "m", "1"), (9, 1, "no evidence", "m", "1"), (9, 1, "no evidence", "m", "1"), (None, 1, "x", "m", "1"), (10, 1, "Acme", "m", "6")]
+    f = spark.createDataFrame(f, "id bigint, doc_id bigint, subject string, metric string, value_raw string")
+    e = spark.createDataFrame([(1, "Acme 5"), (2, "ACME 5"), (8, None), (10, None), (10, "Acme 6"), (None, "x")], "fact_id bigint, quote string")
+    assert sorted(map(tuple, copies.all_records(f, e).collect())) == [(1, 2), (8, 1), (9, 1), (10, 1)]
+    assert {x.first_id for x in copies.all_records(f, e.where("false")).collect()} == {1, 2, 8, 9, 10}
+
+
+def test_every_fact_is_recorded(spark):
+    r = plans.p6_records(spark, D)
+    ids = spark.read.parquet(f"{D}/facts.parquet").select("id").distinct()
+    lost = ids.join(r, ids.id == r.first_id, "left_anti").join(plans.p6_found(spark, D), F.col("id") == F.col("fact_id"), "left_anti")
+    assert lost.count() == 0
+
+
 # --- problem 7 ---------------------------------------------------------------
 
 def _levenshtein(a, b):
