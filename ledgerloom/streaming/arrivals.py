@@ -11,17 +11,16 @@ from ledgerloom.sources.sinks import new_documents
 from ledgerloom.sources.texts import content_hash, text_blocks
 
 
-def ingest_stream(spark: SparkSession, incoming: str, schema: StructType, store: str, checkpoint: str, watermark: str = "30 days") -> StreamingQuery:
+def ingest_stream(spark: SparkSession, incoming: str, schema: StructType, store: str, checkpoint: str) -> StreamingQuery:
     """Read document files as they arrive; write documents and blocks of new contents under ``store``.
 
     Exactly once: contents already stored are dropped by an anti join inside
     each batch, and every batch writes into a folder of its own number, so a
-    repeated batch replaces itself.  ``dropDuplicatesWithinWatermark`` keeps the
-    bounded share of repeats out before that.
+    repeated batch replaces itself.  There is no watermark: a document is new by
+    its content, however late it arrives.
     """
     docs = (spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(incoming)
             .where("text is not null").withColumn("sha256", content_hash(F.col("text"))))
-    docs = docs.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["sha256"])
 
     def batch(df: DataFrame, epoch: int) -> None:
         s = df.sparkSession

@@ -60,3 +60,13 @@ def test_stream_takes_each_content_once(spark, tmp_path):
         assert listen.state and all(s["error"] is None for s in listen.state.values())
     finally:
         spark.streams.removeListener(listen)
+
+
+def test_stream_keeps_late_arrivals(spark, tmp_path):
+    src, store, prog = (str(tmp_path / x) for x in ("in", "store", "progress"))
+    for n, part in enumerate(([(1, "a", "2024-06-01")], [(2, "b", "2024-06-02")], [(3, "old", "2020-12-31"), (4, "a", "2020-12-31"), (5, "undated", None)], [(6, "old", "2020-12-30")])):
+        d = spark.createDataFrame(part, "doc_id bigint, text string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+        d.write.parquet(f"{src}/{n}")
+        arrivals.ingest_stream(spark, src, d.schema, store, prog).awaitTermination()
+    assert sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{store}/documents").collect()) == [(1, "a"), (2, "b"), (3, "old"), (5, "undated")]
+    assert sorted(r.text for r in spark.read.parquet(f"{store}/blocks").collect()) == ["a", "b", "old", "undated"]
