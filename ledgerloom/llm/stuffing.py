@@ -37,6 +37,8 @@ SITE_SHARE = 0.05
 SITE_DOCS = 3
 #: A page of which problem 1's lines leave less than this share of the characters is judged on all of it.
 LEFT = 0.1
+#: A first line of up to so many characters is the title where none is given.
+TITLE_CHARS = 150
 #: Sources up to this many have their site lines broadcast; an entry holds at most 20 lines per line of an average document.
 MAX_BROADCAST_SOURCES = 5_000
 SALTS = 64
@@ -191,9 +193,11 @@ def own_text(documents: DataFrame) -> DataFrame:
     # each line with its key, once; lines without letters or digits have none
     keyed = F.filter(F.transform(_lines(F.col("text")), lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))), lambda x: x["key"] != "")
     title = F.coalesce(line_key(F.col("title")), F.lit(""))
-    # without a title the first line is one
-    j = j.withColumn("lines", keyed).withColumn("head", F.when(title != "", title).otherwise(F.coalesce(F.try_element_at("lines", F.lit(1))["key"], F.lit(""))))
-    j = j.withColumn("own", F.filter("lines", lambda x: x["key"] != F.col("head")))
+    # without a title a short first line is one where others follow
+    j = j.withColumn("lines", keyed).withColumn("head", F.when(title != "", title).when((F.size("lines") > 1) & (F.length(F.try_element_at("lines", F.lit(1))["line"]) <= TITLE_CHARS), F.try_element_at("lines", F.lit(1))["key"]).otherwise(""))
+    # the title is one line: repeats of it are text
+    j = j.withColumn("at", F.array_position(F.transform("lines", lambda x: x["key"]), F.col("head")))
+    j = j.withColumn("own", F.filter("lines", lambda x, i: i + 1 != F.col("at")))
     j = j.withColumn("own", F.transform(F.col("own"), lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["key"]).alias("k1"))))
     without = lambda c: F.filter("own", lambda x: ~F.coalesce(F.array_contains(c, x["k1"]), F.lit(False)))
     join = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")

@@ -304,6 +304,14 @@ def test_copies_and_spam_sites_keep_their_lines(spark):
     assert {x.doc_id for x in stuffing.stuffed_pages(d).collect()} == {*range(100, 103), *range(200, 204), *range(400, 404)}
 
 
+def test_title_is_one_line(spark):
+    listed = ", ".join(["cheap loans", "gold rate", "stock tips"] * 20)
+    rows = [(1, "Gold rate live", "Gold rate live\n" * 40), (2, None, listed), (3, "", listed + "\nEnd"), (4, None, "Note\n" + PROSE), (5, "Board note", "Board note\n" + PROSE), (6, None, "Gold rate live\n" * 40), (7, None, "Gold rate live")]
+    d = spark.createDataFrame([(i, None, t, x) for i, t, x in rows], "doc_id bigint, source string, title string, text string")
+    assert {x.doc_id for x in stuffing.stuffed_pages(d).collect()} == {1, 2, 3, 6}
+    assert {x.doc_id: x.body for x in stuffing.own_text(d).where("doc_id in (4, 5, 7)").collect()} == {4: PROSE, 5: PROSE, 7: "Gold rate live"}
+
+
 # --- all ---------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
