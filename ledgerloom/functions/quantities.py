@@ -128,32 +128,58 @@ def states_unit(value_raw: str | None, unit_raw: str | None) -> bool:
 COUNTED = {"customers", "employees", "warehouses", "branches", "incidents", "patents", "vehicles", "postcodes",
            "parcels", "units", "nos", "shipments", "orders", "stores", "accounts", "people", "items"}
 _AFTER = re.compile(r"\s*[(]?\s*(us\s?\$|['’]000|[₹$%‰`]|[^\W\d_]+\.?)", re.I)
-_BEFORE = re.compile(r"((?:us\s?\$|usd|inr|rs\.?|[₹$`¹¦]|\bi)\s*)[(]?\s*$", re.I)
+# a unit in letters is a word of its own: "customers 12" and "hours 12" name no rupees
+_BEFORE = re.compile(r"((?:(?<![^\W_])(?:us\s?\$|usd|inr|rs\.?|i)|[₹$`¹¦])\s*)[(]?\s*$", re.I)
+#: What follows or precedes a number inside a date, a clock time or a name of letters and digits.
+_IN_DATE = re.compile(r"[-/:]\d|[tT]\d")
+_DATE_BEFORE = re.compile(r"\d[-/:+tT]?$")
+
+
+def _readings(m: re.Match) -> list[tuple[str, int, int]]:
+    """``(digits, start, end)`` of a number as matched, and of its parts where spaces may separate two numbers."""
+    digits, at = m["digits"], m.start("digits")
+    out = [(digits, at, m.end())]
+    for gap in re.finditer(rf"[{_SPACES}]", digits):
+        out.append((digits[gap.end():], at + gap.end(), m.end()))
+        out.append((digits[:gap.start()], at, at + gap.start()))
+    return out
 
 
 def quote_unit(number: float, quote: str | None):
-    """``(scale, unit, factor)`` of the words that touch the number in a quote."""
+    """``(scale, unit, factor, named)`` of the words that touch the number in a quote.
+
+    White space runs count as one space.  Of the places where the number
+    stands, the first that names a unit counts; numbers of dates, clock times
+    and longer codes are no places.
+    """
     if not quote:
         return None
-    text = _THOUSAND.sub(" thousand ", quote)
+    text = _THOUSAND.sub(" thousand ", " ".join(quote.split()))
+    scaled = None
     for m in NUMBER.finditer(text):
-        v = plain_number(m["digits"])
-        if v is None or abs(v - abs(number)) > 1e-9 * max(1.0, abs(number)):
-            continue
-        before = _BEFORE.search(text[max(0, m.start() - 12):m.start()])
-        words, at = [], m.end()
-        while (w := _AFTER.match(text, at)) and len(words) < 4:
-            t = w[1].lower().replace(" ", "")
-            bare = t.rstrip(".")
-            if not (t in UNITS or bare in UNITS or t in SCALES or bare in SCALES or bare in COUNTED
-                    or bare in ("us", "per", "points", "point")):
-                break
-            words.append(w[1])
-            at = w.end()
-        scale, unit, factor, named = unit_words(((before[1] if before else "") + " " + " ".join(words)).strip())
-        if named or scale != 1.0:
-            return scale, unit, factor, named
-    return None
+        for digits, start, end in _readings(m):
+            v = plain_number(digits)
+            if v is None or abs(v - abs(number)) > 1e-9 * max(1.0, abs(number)):
+                continue
+            lead = start if digits != m["digits"] else m.start()
+            if _IN_DATE.match(text, end) or _DATE_BEFORE.search(text, max(0, lead - 2), lead) and text[lead - 1] != " ":
+                continue
+            before = _BEFORE.search(text[max(0, lead - 12):lead])
+            words, at = [], end
+            while (w := _AFTER.match(text, at)) and len(words) < 4:
+                t = w[1].lower().replace(" ", "")
+                bare = t.rstrip(".")
+                if not (t in UNITS or bare in UNITS or t in SCALES or bare in SCALES or bare in COUNTED
+                        or bare in ("us", "per", "points", "point")):
+                    break
+                words.append(w[1])
+                at = w.end()
+            scale, unit, factor, named = unit_words(((before[1] if before else "") + " " + " ".join(words)).strip())
+            if named:
+                return scale, unit, factor, named
+            if scale != 1.0 and scaled is None:
+                scaled = scale, unit, factor, named
+    return scaled
 
 
 def parse_quantity(value_raw: str | None, unit_raw: str | None, quote: str | None = None):
