@@ -182,10 +182,11 @@ def quote_unit(number: float, quote: str | None):
     return scaled
 
 
-def parse_quantity(value_raw: str | None, unit_raw: str | None, quote: str | None = None):
+def read_quantity(value_raw: str | None, unit_raw: str | None, quote: str | None = None):
+    """``(printed number, value, unit)``; three None without a number."""
     s = split_value(value_raw)
     if s is None:
-        return None, None
+        return None, None, None
     v, rest = s
     scale, unit, factor, named = unit_words((rest + " " + _THOUSAND.sub(" thousand ", unit_raw or "")).strip())
     if not named and quote:
@@ -194,4 +195,8 @@ def parse_quantity(value_raw: str | None, unit_raw: str | None, quote: str | Non
             unit, factor = q[1], q[2]
             if scale == 1.0:
                 scale = q[0]
-    return v * scale * factor, unit
+    return v, v * scale * factor, unit
+
+
+def parse_quantity(value_raw: str | None, unit_raw: str | None, quote: str | None = None):
+    return read_quantity(value_raw, unit_raw, quote)[1:]

@@ -120,7 +120,7 @@ def test_sinks(spark):
 
 
 def test_wrong_periods_and_pairs(spark):
-    docs = spark.createDataFrame([(1, "s"), (1, "s"), (2, None), (None, "s")], "doc_id bigint, source string")
+    docs = spark.createDataFrame([(1, "s", None), (1, "s", None), (2, None, None), (None, "s", None)], "doc_id bigint, source string, created_at timestamp")
     info = spark.createDataFrame([("s", "America/New_York", "mdy")], "source string, tz string, date_order string")
     rows = [(1, "03/04/2020", "2020-03-04", "instant"), (2, "03/04/2020", "2020-04-03", "instant"), (3, "recently", "2020-04-03", "instant"), (4, None, "2020-04-03", "instant"), (5, "x", None, None)]
     f = spark.createDataFrame([(*fact(i)[:6], p, *fact(i)[7:12], s, s, k, None, None) for i, p, s, k in rows], FACT)
@@ -130,12 +130,32 @@ def test_wrong_periods_and_pairs(spark):
     e = spark.createDataFrame([(1, "value 5 Cr"), (2, "value ₹ 5 Cr"), (2, "value ₹ 5 Cr"), (None, "x"), (1, None)], "fact_id bigint, quote string")
     h = units_history.unit_history(units_history.normalise_quantities(f, e), docs)
     assert {r.fact_id for r in units_history.wrong_pairs(h).collect()} == {3, 4, 6}
-    assert [r.reverse_factor for r in units_history.unit_changes(h.where("fact_id = 3")).collect()] == [100.0]
+    changes = {r.first_fact: (r.kind, r.reverse_factor and round(r.reverse_factor)) for r in units_history.unit_changes(h).collect()}
+    assert changes == {3: ("scale", 100), 4: ("none", None), 6: ("sign", None)}
     empty = f.where("false")
     assert units_history.wrong_pairs(units_history.unit_history(units_history.normalise_quantities(empty, e), docs)).count() == 0
     assert timestamps.wrong_periods(timestamps.normalise_periods(empty, docs, info)).count() == 0
 
 
+def test_unit_history_finds_runs_and_single_facts_however_it_is_divided(spark):
+    """One source, 400 documents; facts 100 to 149 lost their scale, others are off alone by little and much."""
+    n = 400
+    docs = spark.createDataFrame([(i, "s") for i in range(n)], "doc_id bigint, source string").selectExpr("*", "timestamp_seconds(86400L * doc_id) as created_at")
+    off = {i: 1e-7 for i in range(100, 150)} | {7: 1.0012, 8: 0.9, 200: 1e7, 398: 1.0015}
+    value = lambda i: round(3.0 + (i * 37) % 101 / 7, 2)
+    f = spark.createDataFrame([(i, i, "S", "M", str(value(i)), "Rs crore", None, None, None, None, value(i) * 1e7 * off.get(i, 1 + 4e-4 * (i % 3)), "INR", None, None, None, None, None) for i in range(n)], FACT)
+    e = spark.createDataFrame([], "fact_id bigint, quote string")
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            h = units_history.unit_history(units_history.normalise_quantities(f, e), docs)
+            assert {r.fact_id for r in units_history.wrong_pairs(h).collect()} == set(off)
+            runs = {r.first_fact: (r.n_facts, r.kind) for r in units_history.unit_changes(h).collect()}
+            assert runs[100] == (50, "scale") and runs[200] == (1, "scale") and runs[8] == (1, "value")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_like_keeps_wildcards(spark):
     d = spark.createDataFrame([("a\\b",), ("AxB",), ("zz",)], "s string")
     assert d.where(views.like(d.s, "A_b")).count() == 2 and d.where(views.like(d.s, "\\")).count() == 1
