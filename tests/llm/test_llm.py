@@ -248,8 +248,51 @@ def test_mix(spark):
     assert s["a"].n_tokens + s["b"].n_tokens + s["c"].n_tokens == pytest.approx(min(cap[k] * size[k] / v for k, v in (("a", 0.5), ("b", 0.3), ("c", 0.2))), rel=0.02)
     assert {x.doc_id: x.copies for x in m} == {x.doc_id: x.copies for x in mixing.mix(d, t).collect()}
     assert mixing.mix(d.where("false"), t).count() == 0 and mixing.shares(d.where("false"), t).count() == 5
-    h = mixing.shard_counts(d, t).groupBy("source").agg(F.sum("n_slots").alias("n")).collect()
-    assert {x.source for x in h} == {"a", "b", "c"}
+    plan = mixing.Plan(mixing.sized(d), t)
+    counts = {(x.shard, x.source): x.n_slots for x in mixing.shard_counts(d, t).collect()}
+    drawn = mixing.slots(plan).groupBy("shard", "source").count().collect()
+    assert counts == {(x.shard, x["source"]): x["count"] for x in drawn}
+    assert {k: sum(n for (_, c), n in counts.items() if c == k) for k in "abc"} == {k: n for k, _, n in plan.sources}
+    # every block of a full pass once, a block of the partial pass at most once more
+    for k, blocks, n in plan.sources:
+        times = [x["count"] for x in mixing.slots(plan).where(F.col("source") == k).groupBy("block").count().collect()]
+        assert sum(times) == n and set(times) <= {n // blocks, n // blocks + 1} and (n < blocks or len(times) == blocks)
+    # blocks are full and hold every token once
+    held = mixing.packed(plan).selectExpr("*", "to_token - from_token as n")
+    full = held.groupBy("source", "block").agg(F.sum("n").alias("n")).join(plan.table.select("source", "blocks"), "source").collect()
+    assert all(0 < x.n <= 256 and (x.n == 256 or x.block == x.blocks - 1) for x in full)
+    assert {x.doc_id: x.n for x in held.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()} == {x.doc_id: x.n_tokens for x in plan.placed.collect()}
+
+
+def test_keyed_permutations():
+    for n in (1, 2, 3, 7, 256, 1000, 70_001):
+        x = np.arange(n)
+        p = mixing.permuted(x, n, 12345 + n)
+        assert sorted(p.tolist()) == x.tolist() and (mixing.permuted(p, n, 12345 + n, inverse=True) == x).all()
+    x = np.arange(10_000)
+    p, q = mixing.permuted(x, 10_000, 1), mixing.permuted(x, 10_000, 2)
+    assert (p != q).mean() > 0.99 and abs(np.corrcoef(p, x)[0, 1]) < 0.05 and abs(np.corrcoef(np.diff(p), np.diff(q))[0, 1]) < 0.05
+
+
+def test_shards_are_drawn_as_a_multinomial_given_the_totals():
+    share = np.array([0.3, 0.5, 0.15, 0.05])
+    k = 600
+    totals = np.rint(share * k * mixing.SHARD_SLOTS - np.array([0, 100, 0, 0])).astype(np.int64)
+    got = np.array([c for _, c, _ in mixing.drawn(0, k, 0, k, totals, np.zeros(4, np.int64))])
+    assert (got.sum(0) == totals).all() and (got[:-1].sum(1) == mixing.SHARD_SLOTS).all()
+    spread = np.sqrt(mixing.SHARD_SLOTS * share * (1 - share))
+    assert np.allclose(got[:-1].std(0), spread, rtol=0.12) and np.allclose(got[:-1].mean(0), mixing.SHARD_SLOTS * share, rtol=0.02)
+    # any task draws the same counts and offsets for its shards
+    part = [(s, c.tolist(), o.tolist()) for s, c, o in mixing.drawn(0, k, 250, 260, totals, np.zeros(4, np.int64))]
+    assert part == [(s, c.tolist(), o.tolist()) for s, c, o in mixing.drawn(0, k, 0, k, totals, np.zeros(4, np.int64)) if 250 <= s < 260]
+
+
+def test_groups_of_shards_get_their_exact_proportion(monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 4)
+    totals = np.array([30_001, 5, 12_345], np.int64)
+    got = mixing._groups(totals, int(totals.sum()))
+    assert sum(c for c, _ in got).tolist() == totals.tolist() and all(c.sum() == 4 * mixing.SHARD_SLOTS for c, _ in got[:-1])
+    assert all((o == sum((c for c, _ in got[:i]), np.zeros(3, np.int64))).all() for i, (_, o) in enumerate(got))
 
 
 # --- problem 10 --------------------------------------------------------------
