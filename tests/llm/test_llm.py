@@ -192,6 +192,11 @@ def test_bk_tree_finds_every_entry():
     t = bktree.BkTree(entries)
     got = {(q, t.entries[e], d) for q, e, d in t.within(queries, np.array([3] * 60))}
     assert got == {(i, e, _levenshtein(q, e)) for i, q in enumerate(queries) for e in set(entries) if _levenshtein(q, e) <= 3}
+    entries = ["".join(r.choice("abकख語é") for _ in range(r.choice([3, 63, 64, 65, 130]))) for _ in range(30)]
+    queries = [e[:k] + r.choice("abक?") + e[k + r.randrange(2):] for e in entries for k in (2, len(e) - 1)]
+    t = bktree.BkTree(entries)
+    got = {(q, t.entries[e], d) for q, e, d in t.within(queries, np.array([4] * len(queries)))}
+    assert got == {(i, e, d) for i, q in enumerate(queries) for e in entries if (d := _levenshtein(q, e)) <= 4}
     assert bktree.BkTree([]).within(["a"], np.array([1])) == []
     assert bktree.typing_distance("ca", "abc") == 2 and bktree.typing_distance("satte", "state") == 1
 
@@ -211,6 +216,22 @@ def test_names(spark, most):
     assert canonical.map_names(f.where("false"), t, most).count() == 0
 
 
+LONG_ENTRY = "Directorate General for the Coordinated Supervision of Inland Waterways, Harbours and Coastal Shipping of Upper Halvonia"
+MORE = [("subject", LONG_ENTRY, "long"), ("subject", "तमवेलु खाद्य उद्योग लिमिटेड", "hindi"), ("subject", "Alpha Bravo Charlie", "x"), ("subject", "Charlie Bravo Alpha", "y"),
+        ("subject", "--", "nothing"), ("subject", "State of Sunvaal", "sunvaal"), ("metric", "Branches open", "branches")]
+MORE_NAMES = [(LONG_ENTRY.replace("Inland", "Ilnand").upper(), "long"), ("तमवेलु खाद्य उद्योग लिमिटेद", "hindi"), ("उद्योग तमवेलु खाद्य लिमिटेड", "hindi"), ("केंद्रीय बैंक", "unmatched"), ("Россия", "unmatched"),
+              ("Bravo Alpha Charlie", "y"), ("Bravo-Charlie Alpha", "x"), ("", "unmatched"), ("...", "unmatched"), ("Stats of Sunvaal", "sunvaal"), ("Zulu Alpha Charlie", "unmatched")]
+
+
+def test_names_alike_in_one_list_and_in_shards(spark):
+    """Long entries, other scripts, ambiguous word order and typing errors that look like abbreviations."""
+    f = spark.createDataFrame([(i, n, "branches oper") for i, (n, _) in enumerate(MORE_NAMES)], "id bigint, subject string, metric string")
+    t = spark.createDataFrame(MORE + TERMS, "kind string, raw string, canon_id string")
+    got = [{(x.fact_id, x.kind): x.canon_id for x in canonical.map_names(f, t, most).collect()} for most in (1000, 3, 1)]
+    assert got[0] == got[1] == got[2]
+    assert {i: c for (i, k), c in got[0].items() if k == "subject"} == {i: c for i, (_, c) in enumerate(MORE_NAMES)} and {c for (_, k), c in got[0].items() if k == "metric"} == {"branches"}
+
+
 # --- problem 8 ---------------------------------------------------------------
 
 def test_encoding_equals_libraries(spark):
