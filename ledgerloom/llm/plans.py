@@ -60,11 +60,15 @@ def p9_shards(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shard_counts(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p10_measures(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.page_measures(table(spark, d, "documents"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_lines": p1_lines, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found,
+QUERIES = {"p10_measures": p10_measures, "p1_found": p1_found, "p1_lines": p1_lines, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found,
            "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shards": p9_shards,
            "p10_found": p10_found}
 _LINE = r"regexp_replace(regexp_replace(lower(b.text), '[^\p{L}\p{M}\p{Nd}]+', '', 'g'), '\p{Nd}+', '0', 'g')"

@@ -1,29 +1,28 @@
 """Keyword-stuffed and link-list pages (problem 10).
 
 A page's own text, without its title and its site's repeated lines, is laid
-out as words.  A suffix automaton of the words finds the repeated maximal
-phrases and the characters they cover; pages whose words stand outside
-clauses and are covered by repeated phrases or links are cases, and so is
-prose in which one short phrase makes up much of the page.
+out as words.  The suffix automaton of every page, in array form, gives the
+repeated maximal phrases and the characters they cover; pages whose words
+stand outside clauses and are covered by repeated phrases or links are cases,
+and so is prose in which one short phrase makes up much of the page.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.keys import hash128, line_key
-from ledgerloom.llm.site_lines import MIN_SHARE, bitmaps, frequent_lines
+from ledgerloom.llm.site_lines import BROADCAST_BYTES, MIN_SHARE, text_keys
 from ledgerloom.session import cut
 
 # Parameters of the decision.
-MIN_WORDS = 20            # shorter pages state too little to judge
-STUFFED_WORDS = 40        # and prose is judged from here
 CLAUSE_POOR = 0.3         # share of words in sentences, below which a page is a list
 SENTENCE_WORDS = 4
 MAX_NUMBERS = 0.3         # lists with more numbers are tables of figures
@@ -31,6 +30,7 @@ COVERED = 0.25            # share of characters in phrases that stand three time
 LINKED = 0.15             # share of characters in links and tags
 PHRASE = 0.45             # share of words in one phrase
 MAX_PHRASE = 4            # words of a phrase that counts as one
+PHRASE_TIMES = 5          # how often a phrase stands that is repeated for its own sake; a sentence may be said thrice
 REPEATS = 3
 #: Site lines, here, stand in at least this share of a source's distinct texts; below problem 1's share a page is judged with and without them.
 SITE_SHARE = 0.05
@@ -39,84 +39,104 @@ SITE_DOCS = 3
 LEFT = 0.1
 #: A first line of up to so many characters is the title where none is given.
 TITLE_CHARS = 150
-#: Sources up to this many have their site lines broadcast; an entry holds at most 20 lines per line of an average document.
-MAX_BROADCAST_SOURCES = 5_000
-SALTS = 64
+#: Words whose suffixes are sorted together; a longer page is sorted by itself.
+BATCH_WORDS = 500_000
 
 _LINK = regex.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>|</a>|(?<=\])\([^)\s]*\)")
 _TAG = regex.compile(r"(#[\p{L}\p{M}_]{2,})\p{N}*")
 _WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)?|\p{N}+")
 _SENTENCES = regex.compile(r"(?<=[.!?।])[\"”’)]*\s+|\n")
+_LINES = re.compile(r"\r\n|\r|\n")
 _END = (".", "!", "?", "।")
 
 
-class SuffixAutomaton:
-    """Suffix automaton of a sequence, with occurrence counts."""
-
-    def __init__(self, seq: list[int]) -> None:
-        nxt: list[dict[int, int]] = [{}]
-        link, length, count, at = [-1], [0], [0], []
-        last = 0
-        for c in seq:
-            cur = len(nxt)
-            nxt.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            count.append(1)
-            at.append(cur)
-            p = last
-            while p >= 0 and c not in nxt[p]:
-                nxt[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = nxt[p][c]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    clone = len(nxt)
-                    nxt.append(dict(nxt[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    count.append(0)
-                    while p >= 0 and nxt[p].get(c) == q:
-                        nxt[p][c] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
-            last = cur
-        order = sorted(range(len(nxt)), key=length.__getitem__)
-        for v in reversed(order):
-            if link[v] >= 0:
-                count[link[v]] += count[v]
-        self.link, self.length, self.count, self.at, self.order = link, length, count, at, order
-
-    def longest_repeats(self, times: int) -> list[int]:
-        """For each position the length of the longest phrase ending there that stands at least so often."""
-        good = [0] * len(self.link)
-        for v in self.order:
-            if v:
-                good[v] = v if self.count[v] >= times else good[self.link[v]]
-        return [self.length[good[v]] for v in self.at]
-
-    def heaviest_phrase(self, most: int) -> int:
-        """Words in the phrase of two to ``most`` words that takes up the most of them."""
-        best = 0
-        for v in self.order:
-            if v and self.count[v] >= REPEATS:
-                n = min(self.length[v], most)
-                if n >= 2 and n > self.length[self.link[v]]:
-                    best = max(best, n * self.count[v])
-        return best
+class Suffixes:
+    """Suffix automata of many pages at once, in array form.
 
+    The suffixes of all pages are sorted and the common prefixes of neighbours
+    measured.  Suffixes that stand together with a common prefix are one state
+    of the automaton of the page read backwards: its phrases are the prefixes
+    longer than what it shares with further neighbours, its count is their
+    number.  Sorting doubles the compared length and goes on only among
+    suffixes that ``times`` or more share, so phrases that stand that often
+    are exact, whatever their length; rarer ones are not told apart.
+    """
 
-def measure(body: str | None) -> tuple[int, float, float, float, float, float]:
-    """``(words, clause share, number share, link share, covered share, phrase share)`` of a page's own text.
+    def __init__(self, pages: list[np.ndarray], times: int) -> None:
+        self.size = np.array([len(p) for p in pages], np.int64)
+        self.start = np.r_[0, np.cumsum(self.size + 1)]
+        n, self.times = int(self.start[-1]), times
+        symbols = max((int(p.max()) for p in pages if len(p)), default=0) + 1
+        # a word counts within its page; the end of a page is a symbol of its own
+        seq = np.repeat(np.arange(len(pages)), self.size + 1) * symbols
+        inner = np.ones(n, bool)
+        inner[self.start[1:] - 1] = False
+        seq[inner] += np.concatenate(pages) if pages else 0
+        seq[~inner] = -1 - np.arange(len(pages))
+        self.inner = inner
+        sa = np.argsort(seq, kind="stable").astype(np.int32)
+        rank = np.empty(n, np.int32)
+        index = np.arange(n, dtype=np.int32)
+        rank[sa], live = self._buckets(index, seq[sa][1:] != seq[sa][:-1] if n else np.zeros(0, bool))
+        levels, h = [rank.copy()], 1
+        while len(live):
+            at = sa[live]
+            second = rank[at + h]
+            order = np.lexsort((second, rank[at]))
+            at, second = at[order], second[order]
+            own = rank[at]
+            start, keep = self._buckets(live, (own[1:] != own[:-1]) | (second[1:] != second[:-1]))
+            sa[live] = at
+            rank[at] = start
+            live = keep
+            levels.append(rank.copy())
+            h *= 2
+        # common prefixes of neighbours, from the greatest power of two down
+        a, b = sa[:-1].astype(np.int64), sa[1:].astype(np.int64)
+        lcp = np.zeros(max(n - 1, 0), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            equal = levels[k][np.minimum(a + lcp, n - 1)] == levels[k][np.minimum(b + lcp, n - 1)]
+            lcp += equal.astype(np.int64) << k
+        self.sa, self.lcp = sa, lcp
 
-    Covered and phrase share are 0 where a bound on them already rules a case
-    out: a phrase of up to MAX_PHRASE words stands no more often than the most
-    frequent word, or pair of neighbours.  Numbers are counted in lists only.
-    """
-    if not body:
-        return 0, 0.0, 0.0, 0.0, 0.0, 0.0
+    def _buckets(self, index: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket starts of sorted suffixes, and the places of those in buckets worth sorting on."""
+        if not len(index):
+            return index, index
+        first = np.flatnonzero(np.r_[True, edge])
+        size = np.diff(np.r_[first, len(index)])
+        return np.repeat(index[first], size), index[np.repeat(size >= self.times, size)]
+
+    def longest(self) -> list[np.ndarray]:
+        """For each position of each page the length of the longest phrase starting there that stands often enough in the page."""
+        n, t = len(self.sa), self.times
+        out = np.zeros(n, np.int64)
+        if n >= t:
+            low = self.lcp[:n - t + 1].copy()
+            for k in range(1, t - 1):
+                np.minimum(low, self.lcp[k:n - t + 1 + k], out=low)
+            for k in range(t):
+                out[k:n - t + 1 + k] = np.maximum(out[k:n - t + 1 + k], low)
+        by_place = np.zeros(n, np.int64)
+        by_place[self.sa] = out
+        return [by_place[s:s + m] for s, m in zip(self.start[:-1], self.size)]
+
+    def heaviest(self, most: int, times: int) -> np.ndarray:
+        """For each page the words in the phrase of two to ``most`` words, ``times`` or more of it, that takes up the most of them."""
+        best = np.zeros(len(self.size), np.int64)
+        if not len(self.lcp):
+            return best
+        for k in range(2, most + 1):
+            first = np.flatnonzero(np.r_[True, self.lcp < k])
+            count = np.diff(np.r_[first, len(self.sa)])
+            often = count >= max(times, self.times)
+            page = np.searchsorted(self.start, self.sa[first[often]], side="right") - 1
+            np.maximum.at(best, page, k * count[often])
+        return best
+
+
+def _tokens(body: str) -> tuple[list[str], int, float]:
+    """Words of a page's own text, how many of them stand in clauses, and the share of its characters in links and tags."""
     bare, linked = body, 0.0
     if "://" in body or "www." in body or "<" in body or "](" in body or "#" in body:
         bare = _LINK.sub(" ", body)
@@ -129,95 +149,162 @@ def measure(body: str | None) -> tuple[int, float, float, float, float, float]:
         if len(own) >= SENTENCE_WORDS and s.rstrip(" \"”’)").endswith(_END):
             in_clause += len(own)
         words += own
-    n = len(words)
-    if n < MIN_WORDS:
-        return n, 0.0, 0.0, linked, 0.0, 0.0
-    clause = in_clause / n
-    numbers = sum(w[0].isdigit() for w in words) / n if clause < CLAUSE_POOR else 0.0
-    if clause >= CLAUSE_POOR:
-        bound = Counter(words).most_common(1)[0][1]
-        if bound * MAX_PHRASE >= PHRASE * n:
-            bound = Counter(zip(words, words[1:])).most_common(1)[0][1]
-        if bound * MAX_PHRASE < PHRASE * n:
-            return n, clause, numbers, linked, 0.0, 0.0
-    ids: dict[str, int] = {}
-    sam = SuffixAutomaton([ids.setdefault(w, len(ids)) for w in words])
-    mark = [0] * (n + 1)
-    for i, long in enumerate(sam.longest_repeats(REPEATS)):
-        if long >= 2 or long == 1 and len(words[i]) >= 8:
-            mark[i + 1 - long] += 1
-            mark[i + 1] -= 1
-    covered = inside = 0
-    for w, m in zip(words, mark):
-        inside += m
-        covered += len(w) if inside > 0 else 0
-    return n, clause, numbers, linked, covered / sum(map(len, words)), min(1.0, sam.heaviest_phrase(MAX_PHRASE) / n)
+    return words, in_clause, linked
+
+
+def measure(bodies: list[str]) -> list[tuple[int, float, float, float, float, float]]:
+    """``(words, clause share, number share, link share, covered share, phrase share)`` of each page's own text."""
+    out: list[tuple[int, float, float, float, float, float]] = []
+    held: list[tuple[list[str], int, float]] = []
+
+    def flush() -> None:
+        ids: dict[str, int] = {}
+        pages = [np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for words, _, _ in held]
+        of = list(ids)
+        chars, number = np.array([len(w) for w in of], np.int64), np.array([w[0].isdigit() for w in of], bool)
+        s = Suffixes(pages, REPEATS)
+        for (words, in_clause, linked), page, long, heavy in zip(held, pages, s.longest(), s.heaviest(MAX_PHRASE, PHRASE_TIMES).tolist()):
+            n = len(words)
+            if not n:
+                out.append((0, 0.0, 0.0, linked, 0.0, 0.0))
+                continue
+            size = chars[page]
+            hit = np.flatnonzero((long >= 2) | (long == 1) & (size >= 8))
+            open_ = np.bincount(hit, minlength=n + 1) - np.bincount(hit + long[hit], minlength=n + 1)
+            covered = size[np.cumsum(open_)[:n] > 0].sum() / size.sum()
+            out.append((n, in_clause / n, float(number[page].mean()), linked, float(covered), min(1.0, heavy / n)))
+        held.clear()
+
+    words = 0
+    for body in bodies:
+        held.append(_tokens(body))
+        words += len(held[-1][0])
+        if words >= BATCH_WORDS:
+            flush()
+            words = 0
+    if held:
+        flush()
+    return out
 
 
 def is_case(m: tuple[int, float, float, float, float, float]) -> bool:
     n, clause, numbers, linked, covered, phrase = m
-    if n < MIN_WORDS:
+    if not n:
         return linked >= 0.5
     if clause < CLAUSE_POOR and numbers < MAX_NUMBERS and (covered >= COVERED or linked >= LINKED):
         return True
-    return n >= STUFFED_WORDS and phrase >= PHRASE
+    return phrase >= PHRASE
+
 
+def _keys(text: Column) -> Column:
+    """128-bit keys of a text's lines; null for lines without letters and digits."""
+    return F.transform(text_keys(text), lambda k: F.when(k != "", F.struct(*[h.alias(n) for h, n in zip(hash128(k), ("k1", "k2"))])))
 
-def _lines(text: Column) -> Column:
-    return F.split(text, r"\r\n|\r|\n")
+
+def keyed_pages(documents: DataFrame) -> DataFrame:
+    """``doc_id, source, text, h1, h2, keys, title``: pages with a text, the keys of their lines and of their title."""
+    t = line_key(F.col("title"))
+    title = F.when(t != "", F.struct(*[h.alias(n) for h, n in zip(hash128(t), ("k1", "k2"))]))
+    h1, h2 = hash128(F.col("text"))
+    return documents.where("text is not null").select("doc_id", "source", "text", h1.alias("h1"), h2.alias("h2"), _keys(F.col("text")).alias("keys"), title.alias("title"))
 
 
-def own_text(documents: DataFrame) -> DataFrame:
-    """``doc_id, body, wide``: the text without title and site lines, lines joined by one line end.
+def site_lines(pages: DataFrame) -> DataFrame:
+    """``source, k1, k2, common``: lines in SITE_SHARE of a source's distinct texts; common: in problem 1's share.
 
-    Copies of a text count as one in the count of site lines.  ``wide`` is the
-    text without those site lines only that stand in problem 1's share, or with
-    all of them where they make up the page; null where it is ``body``.
+    Copies of a text count as one.
     """
-    d = documents.select("doc_id", "source", "title", "text").where("text is not null")
-    # the keys of each distinct text of a source once, however often it is uploaded; its smallest doc_id stands for it
-    keys = F.filter(F.transform(_lines(F.col("text")), line_key), lambda k: k != "")
-    h1, h2 = hash128(F.col("text"))
-    texts = (d.where("source is not null and doc_id is not null")
-             .select("doc_id", "source", h1.alias("h1"), h2.alias("h2"), F.transform(keys, lambda k: F.struct(*[h.alias(n) for h, n in zip(hash128(k), ("k1", "k2"))])).alias("keys"))
-             .groupBy("source", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys")))
-    maps = cut(bitmaps(texts.select("doc_id", "source", F.inline("keys"))))
-    per = maps.groupBy("source", "word").agg(F.bit_or("bits").alias("bits")).groupBy("source").agg(F.sum(F.bit_count("bits")).alias("source_docs"))
-    common = F.when(F.col("n_docs") >= F.ceil(F.col("source_docs") * F.lit(MIN_SHARE) - 1e-9), F.col("k1"))
-    site = cut(frequent_lines(maps, per, SITE_DOCS, SITE_SHARE).join(per, "source").groupBy("source").agg(F.collect_set("k1").alias("site"), F.collect_set(common).alias("common")))
-    if site.count() <= MAX_BROADCAST_SOURCES:
-        j = d.join(F.broadcast(site), "source", "left")
-    else:
-        salted = site.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        j = d.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, ["source", "salt"], "left")
-    # each line with its key, once; lines without letters or digits have none
-    keyed = F.filter(F.transform(_lines(F.col("text")), lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))), lambda x: x["key"] != "")
-    title = F.coalesce(line_key(F.col("title")), F.lit(""))
-    # without a title a short first line is one where others follow
-    j = j.withColumn("lines", keyed).withColumn("head", F.when(title != "", title).when((F.size("lines") > 1) & (F.length(F.try_element_at("lines", F.lit(1))["line"]) <= TITLE_CHARS), F.try_element_at("lines", F.lit(1))["key"]).otherwise(""))
-    # the title is one line: repeats of it are text
-    j = j.withColumn("at", F.array_position(F.transform("lines", lambda x: x["key"]), F.col("head")))
-    j = j.withColumn("own", F.filter("lines", lambda x, i: i + 1 != F.col("at")))
-    j = j.withColumn("own", F.transform(F.col("own"), lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["key"]).alias("k1"))))
-    without = lambda c: F.filter("own", lambda x: ~F.coalesce(F.array_contains(c, x["k1"]), F.lit(False)))
-    join = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
-    j = j.select("doc_id", join(F.col("own")).alias("whole"), join(without("site")).alias("body"), join(without("common")).alias("wide"))
-    wide = F.when(F.length("wide") < F.length("whole") * LEFT, F.col("whole")).otherwise(F.col("wide"))
-    return j.select("doc_id", "body", F.nullif(wide, F.col("body")).alias("wide"))
+    texts = (pages.where("source is not null").select("source", "h1", "h2", F.array_distinct(F.array_compact("keys")).alias("keys")).where("size(keys) > 0")
+             .groupBy("source", "h1", "h2").agg(F.any_value("keys").alias("keys")))
+    texts = cut(texts.select("source", "keys"))
+    per = texts.groupBy("source").agg(F.count("*").alias("texts"))
+    n = texts.select("source", F.inline("keys")).groupBy("source", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= SITE_DOCS)
+    share = lambda s: F.col("n") >= F.ceil(F.col("texts") * F.lit(s) - 1e-9)
+    return n.join(per, "source").where(share(SITE_SHARE)).select("source", "k1", "k2", share(MIN_SHARE).alias("common"))
 
 
-def stuffed_pages(documents: DataFrame) -> DataFrame:
-    """``doc_id`` of pages that are mostly keywords, tags, links or one repeated phrase.
+def own_text(text: str, keys: list[tuple[int, int] | None], title: tuple[int, int] | None, site: dict[tuple[int, int], bool]) -> tuple[str, str | None]:
+    """``(body, wide)``: a page's text without its title line and its site's lines (key to common).
 
-    Null, empty and very short texts are no cases.  Documents without a source
-    have no site lines.  Copies of a text under other ids are judged alike and
-    make no site lines of its own lines.
+    The title is one line: repeats of it are text.  Without a title a short
+    first line is one where others follow.  ``wide`` is the text without those
+    site lines only that stand in problem 1's share, or with all of them where
+    they make up the page; None where it is the body.
     """
+    lines = [(line, k) for line, k in zip(_LINES.split(text), keys) if k is not None]
+    if title is None and len(lines) > 1 and len(lines[0][0]) <= TITLE_CHARS:
+        title = lines[0][1]
+    at = next((i for i, (_, k) in enumerate(lines) if k == title), None)
+    if at is not None:
+        del lines[at]
+    body = "\n".join(x for x, k in lines if k not in site)
+    whole = "\n".join(x for x, _ in lines)
+    wide = "\n".join(x for x, k in lines if not site.get(k, False))
+    if len(wide) < len(whole) * LEFT:
+        wide = whole
+    return body, None if wide == body else wide
+
+
+_MEASURES = ("words", "clause", "numbers", "linked", "covered", "phrase")
+_RESULT = "doc_id bigint, words int, clause double, numbers double, linked double, covered double, phrase double, stuffed boolean"
+
+
+def _pairs(col: pa.Array) -> list[list[tuple[int, int] | None]]:
+    """Lists of (k1, k2), None for null structs."""
+    v = col.values
+    k = [None if no else p for no, p in zip(v.is_null().to_pylist(), zip(v.field(0).to_pylist(), v.field(1).to_pylist()))]
+    ends = col.offsets.to_pylist()
+    return [k[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def page_measures(documents: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``doc_id, words, clause, numbers, linked, covered, phrase, stuffed`` of every page with a text.
+
+    The shares are those of the reading that decides: the page without its
+    site's lines, or if only the wider reading makes a case, that one.  The
+    site lines travel with the tasks while they are small (a source has at most
+    lines-per-document / SITE_SHARE of them), else each text's own ones are
+    joined to it; the results are the same.
+    """
+    pages = keyed_pages(documents)
+    site = cut(site_lines(pages))
+    if site.count() * 200 <= broadcast_bytes:  # about the bytes of a key in a Python dictionary
+        by_source: dict[str, dict[tuple[int, int], bool]] = {}
+        for r in site.collect():  # its size is checked above
+            by_source.setdefault(r.source, {})[r.k1, r.k2] = r.common
+        rows = pages.select("doc_id", "text", "keys", "title", "source")
+    else:
+        by_source = None
+        lines = pages.where("source is not null").select("source", "h1", "h2", F.array_distinct(F.array_compact("keys")).alias("keys")).dropDuplicates(["source", "h1", "h2"])
+        hits = (lines.select("source", "h1", "h2", F.inline("keys")).join(site.hint("merge"), ["source", "k1", "k2"])
+                .groupBy("source", "h1", "h2").agg(F.collect_list(F.struct("k1", "k2", "common")).alias("site")))
+        rows = pages.join(hits.hint("merge"), ["source", "h1", "h2"], "left").select("doc_id", "text", "keys", "title", "site")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = zip(b.column(1).to_pylist(), b.column(2).to_pylist())
-            keep = pa.array([is_case(measure(t)) or w is not None and is_case(measure(w)) for t, w in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0)], names=["doc_id"]).filter(keep)
+            ids, texts, titles = b.column(0), b.column(1).to_pylist(), b.column(3).to_pylist()
+            last = b.column(4).to_pylist()
+            if by_source is None:
+                sites = [{(x["k1"], x["k2"]): x["common"] for x in s or ()} for s in last]
+            else:
+                sites = [by_source.get(s, {}) for s in last]
+            own = [own_text(t, k, None if h is None else (h["k1"], h["k2"]), s) for t, k, h, s in zip(texts, _pairs(b.column(2)), titles, sites)]
+            first = measure([x for x, _ in own])
+            also = [i for i, (_, w) in enumerate(own) if w is not None and not is_case(first[i])]
+            for i, m in zip(also, measure([own[i][1] for i in also])):
+                if is_case(m):
+                    first[i] = m
+            cols = [pa.array(c, pa.int32() if i == 0 else pa.float64()) for i, c in enumerate(zip(*first))] if first else [pa.array([], pa.int32())] + [pa.array([], pa.float64())] * 5
+            yield pa.RecordBatch.from_arrays([ids, *cols, pa.array([is_case(m) for m in first], pa.bool_())], names=["doc_id", *_MEASURES, "stuffed"])
+
+    return rows.mapInArrow(run, _RESULT)
+
 
-    return own_text(documents).mapInArrow(run, "doc_id bigint")
+def stuffed_pages(documents: DataFrame) -> DataFrame:
+    """``doc_id`` of pages that are mostly keywords, tags, links or one repeated phrase.
+
+    Null and empty texts are no cases.  Documents without a source have no site
+    lines.  Copies of a text under other ids are judged alike and make no site
+    lines of its own lines.
+    """
+    return page_measures(documents).where("stuffed").select("doc_id")

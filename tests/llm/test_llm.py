@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bktree, bpe, canonical, copies, groups, mixing, pieces, plans, site_lines, stuffing
+from ledgerloom.llm import bitmaps, bktree, bpe, canonical, copies, groups, mixing, pieces, plans, site_lines, stuffing
 from ledgerloom.llm.keys import content_tokens, line_key
 
 D = "/root/testdata/sf0.001"
@@ -59,6 +59,28 @@ def test_repeated_lines(spark):
     docs2 = d.withColumn("text", F.when(F.col("doc_id") == 50, "Share this!\r\nBody 1\n\nshare this").when(F.col("doc_id") == 100, ""))
     got = {x.doc_id: x.text for x in site_lines.clean_documents(b, docs2).where("doc_id in (50, 100, 150)").collect()}
     assert got == {50: "Body 1\n", 100: "", 150: None}
+    # a repeated row stays a row, rows without an id stay apart, untouched texts keep their line ends
+    odd = spark.createDataFrame([(50, "a", "Body 3\nshare this\nx"), (50, "a", "Body 3\nshare this\nx"), (None, "a", "one\r\ntwo"), (None, None, "Share this!"), (999, "none", "a\r\nb")], "doc_id bigint, source string, text string")
+    both = d.select("doc_id", "source", "text").unionByName(odd.where("doc_id is null or doc_id = 999"))
+    lines = both.where("doc_id is null or doc_id != 50").unionByName(odd.where("doc_id = 50"))
+    got = sorted((x.doc_id or -1, x.text, x.removed) for x in site_lines.clean_documents(b, lines).where("doc_id is null or doc_id in (50, 999)").where("text is not null").collect())
+    assert got == [(-1, "Share this!", 0), (-1, "one\r\ntwo", 0), (50, "Body 3\nx", 1), (50, "Body 3\nx", 1), (999, "a\r\nb", 0)]
+
+
+def test_bitmap_containers_round_trip():
+    r = random.Random(4)
+    for v in ([5], [0, 65535], list(range(100, 60000)), sorted(r.sample(range(65536), 3000)), sorted(r.sample(range(65536), 30000)), list(range(65536))):
+        c = bitmaps.pack(np.array(v))
+        assert bitmaps.unpack(c).tolist() == v and len(c) <= 1 + min(2 * len(v), 8192)
+        assert all(bitmaps.holds(c, x) == (x in set(v)) for x in [*r.sample(range(65536), 40), v[0], v[-1], max(0, v[0] - 1), min(65535, v[-1] + 1)])
+
+
+def test_spellings_are_united_and_counted_exactly(spark):
+    n = 70_000
+    rows = spark.range(n).selectExpr("id", "id as doc_id", "case when id % 2 = 0 then 'Share this!' else 'SHARE  this' end as text")
+    maps = site_lines.line_bitmaps(site_lines.keyed_lines(rows, rows.selectExpr("doc_id", "'s' as source"))).orderBy("chunk").collect()
+    assert [(m.chunk, m.n_docs) for m in maps] == [(0, 65536), (1, n - 65536)] and bitmaps.unpack(maps[1].docs).tolist() == list(range(n - 65536))
+    assert len(maps[0].docs) == 5  # one run
 
 
 def test_fifth_is_exact(spark):
@@ -322,22 +344,26 @@ def _repeats(words, times):
     out = []
     for i in range(len(words)):
         best = 0
-        for k in range(1, i + 2):
-            p = words[i + 1 - k:i + 1]
+        for k in range(1, len(words) - i + 1):
+            p = words[i:i + k]
             if sum(words[j:j + k] == p for j in range(len(words) - k + 1)) >= times:
                 best = k
         out.append(best)
     return out
 
 
-def test_suffix_automaton():
+def _heaviest(w, times):
+    count = lambda i, k: sum(w[j:j + k] == w[i:i + k] for j in range(len(w) - k + 1))
+    return max([k * count(i, k) for k in (2, 3, 4) for i in range(len(w) - k + 1) if count(i, k) >= times], default=0)
+
+
+def test_suffixes_of_many_pages_against_brute_force():
     r = random.Random(10)
-    for _ in range(60):
-        w = [r.randrange(3) for _ in range(r.randrange(0, 30))]
-        a = stuffing.SuffixAutomaton(w)
-        assert a.longest_repeats(2) == _repeats(w, 2) and a.longest_repeats(3) == _repeats(w, 3)
-        heavy = max([k * sum(w[j:j + k] == w[i:i + k] for j in range(len(w) - k + 1)) for k in (2, 3, 4) for i in range(len(w) - k + 1) if sum(w[j:j + k] == w[i:i + k] for j in range(len(w) - k + 1)) >= 3], default=0)
-        assert a.heaviest_phrase(4) == heavy
+    for times in (2, 3):
+        pages = [[r.randrange(r.choice([1, 2, 3, 9])) for _ in range(r.randrange(0, 40))] for _ in range(80)] + [[1, 2, 3] * 20, [5] * 33, []]
+        s = stuffing.Suffixes([np.array(p, np.int64) for p in pages], times)
+        for p, long, heavy in zip(pages, s.longest(), s.heaviest(4, times)):
+            assert long.tolist() == _repeats(p, times) and heavy == _heaviest(p, times)
 
 
 PROSE = " ".join(f"The {a} reported that {b} rose in the quarter because {c} was late." for a in ("board", "office", "unit", "team") for b in ("costs", "sales", "rent") for c in ("rain", "freight", "coal"))
@@ -366,6 +392,14 @@ def test_copies_and_spam_sites_keep_their_lines(spark):
     rows += [(300 + i, "t", "Note", _prose(i)) for i in range(40)] + [(400 + i, "t", "Offers", f"Offers\n{listed}All in one place {chr(97 + i)}.") for i in range(4)]  # in a tenth of the site
     d = spark.createDataFrame(rows, "doc_id bigint, source string, title string, text string")
     assert {x.doc_id for x in stuffing.stuffed_pages(d).collect()} == {*range(100, 103), *range(200, 204), *range(400, 404)}
+    # site lines that do not travel with the tasks give the same
+    assert sorted(map(tuple, stuffing.page_measures(d).collect())) == sorted(map(tuple, stuffing.page_measures(d, 0).collect()))
+
+
+def test_short_keyword_pages_are_measured(spark):
+    rows = [(1, "gold rate, gold rate, gold rate, stock"), (2, "Short note on rates"), (3, "#GoldRate #StockTips"), (4, "---"), (5, "https://x.example/a"), (6, "The rate rose in May."), (7, "It was late. " * 3 + "Sales rose in May again."), (8, "Gold rate live is gold rate live. " * 4)]
+    d = spark.createDataFrame([(i, None, None, t) for i, t in rows], "doc_id bigint, source string, title string, text string")
+    assert {x.doc_id for x in stuffing.stuffed_pages(d).collect()} == {1, 3, 5, 8}
 
 
 def test_title_is_one_line(spark):
@@ -373,7 +407,8 @@ def test_title_is_one_line(spark):
     rows = [(1, "Gold rate live", "Gold rate live\n" * 40), (2, None, listed), (3, "", listed + "\nEnd"), (4, None, "Note\n" + PROSE), (5, "Board note", "Board note\n" + PROSE), (6, None, "Gold rate live\n" * 40), (7, None, "Gold rate live")]
     d = spark.createDataFrame([(i, None, t, x) for i, t, x in rows], "doc_id bigint, source string, title string, text string")
     assert {x.doc_id for x in stuffing.stuffed_pages(d).collect()} == {1, 2, 3, 6}
-    assert {x.doc_id: x.body for x in stuffing.own_text(d).where("doc_id in (4, 5, 7)").collect()} == {4: PROSE, 5: PROSE, 7: "Gold rate live"}
+    assert stuffing.own_text("Note\nB\r\nC\rnote", [(1, 1), (2, 2), (3, 3), (1, 1)], (1, 1), {}) == ("B\nC\nnote", None)
+    assert stuffing.own_text("Gold rate live", [(1, 1)], None, {}) == ("Gold rate live", None) and stuffing.own_text("Note\nB", [(1, 1), (2, 2)], None, {}) == ("B", None)
 
 
 # --- all ---------------------------------------------------------------------
