@@ -1,9 +1,10 @@
 """Claims that are copies but for formatting (problem 6).
 
-Canonical keys are counted with partial counts before the shuffle.  Keys with
-more rows than a threshold are hot: their rows are salted and meet their
-group through (key, salt); all others meet through one shuffle by key.  The
-smallest fact id of a group represents it.
+Canonical keys are counted exactly, with partial counts before the shuffle.
+Keys with more rows than a threshold are hot: their rows are salted and
+aggregated in two levels, by (key, salt) and by key, and meet their group
+through (key, salt); all others are aggregated and meet their group through
+one shuffle by key.  The smallest fact id of a group represents it.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from ledgerloom.llm.keys import content_tokens, hash128
 from ledgerloom.session import cut
 
 #: Rows of one key from which it is salted.
-HOT_ROWS = 100_000
-#: At most so many keys can be hot: the threshold rises with the row count.
+HOT_ROWS = 1_000
+#: At most so many keys can be hot, so their list may be broadcast: the threshold rises with the row count.
 MAX_HOT = 10_000
 SALTS = 64
 _KEY = ["k1", "k2"]
@@ -32,7 +33,7 @@ def keyed_claims(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     The quote's words and numbers count as a bag, so the order of listed fields
     does not matter.  Only hashes are shuffled.
     """
-    q1, q2 = hash128(F.array_join(F.array_sort(content_tokens(F.col("quote"))), " "))
+    q1, q2 = hash128(F.array_join(F.array_sort(content_tokens(F.col("quote"), grouped=True)), " "))
     e = (evidence.where("fact_id is not null and quote is not null").select("fact_id", "quote")
          .select("fact_id", q1.alias("q1"), q2.alias("q2")).distinct())
     # one pass over the fields together
@@ -44,9 +45,23 @@ def keyed_claims(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     return f.join(e, "fact_id").select("fact_id", k1.alias("k1"), k2.alias("k2")).distinct()
 
 
-def claim_groups(claims: DataFrame) -> DataFrame:
-    """``k1, k2, n, first_id`` of every claim."""
-    return claims.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("fact_id").alias("first_id"))
+def hot_keys(claims: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``k1, k2, hot`` of the keys with more rows than the threshold, counted exactly."""
+    most = max(hot_rows, claims.count() // MAX_HOT)
+    return claims.groupBy(*_KEY).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*_KEY, F.lit(True).alias("hot"))
+
+
+def salted(claims: DataFrame, hot: DataFrame) -> DataFrame:
+    """claims with ``salt``: 0 to SALTS - 1 for rows of hot keys, null for others."""
+    return claims.join(F.broadcast(hot), _KEY, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("fact_id"), F.lit(SALTS)))).drop("hot")
+
+
+def claim_groups(rows: DataFrame) -> DataFrame:
+    """``k1, k2, n, first_id, hot`` of every claim: hot keys in two levels, the others in one."""
+    cold = rows.where("salt is null").groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("fact_id").alias("first_id"))
+    part = rows.where("salt is not null").groupBy(*_KEY, "salt").agg(F.count("*").alias("n"), F.min("fact_id").alias("first_id"))
+    both = part.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
+    return cold.withColumn("hot", F.lit(False)).unionByName(both.withColumn("hot", F.lit(True)))
 
 
 def copies(facts: DataFrame, evidence: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -57,22 +72,21 @@ def copies(facts: DataFrame, evidence: DataFrame, hot_rows: int = HOT_ROWS) -> D
     fact with several different quotes is a copy where any of them agrees.
     """
     claims = cut(keyed_claims(facts, evidence))
-    groups = cut(claim_groups(claims).where("n > 1"))
-    threshold = max(hot_rows, claims.count() // MAX_HOT)
-    hot = groups.where(F.col("n") > threshold).select(*_KEY, F.lit(True).alias("hot"))
-    if hot.isEmpty():
-        met = claims.join(groups, _KEY)
-    else:  # at most MAX_HOT keys of 17 bytes are broadcast
-        flagged = claims.join(F.broadcast(hot), _KEY, "left")
-        salted = flagged.withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("fact_id"), F.lit(SALTS))).otherwise(0)).drop("hot")
-        spread = groups.withColumn("salt", F.explode(F.when(F.col("n") > threshold, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        met = salted.join(spread, [*_KEY, "salt"])
-    return met.where("fact_id != first_id").select("first_id", "fact_id").distinct()
-
-
-def claim_records(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    hot = cut(hot_keys(claims, hot_rows))
+    rows = salted(claims, hot)
+    groups = claim_groups(rows).where("n > 1")
+    met = rows.where("salt is null").drop("salt").join(groups.where("not hot"), _KEY).select("first_id", "fact_id")
+    if not hot.isEmpty():
+        groups = cut(groups)
+        spread = groups.where("hot").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = met.unionByName(rows.where("salt is not null").join(spread.hint("merge"), [*_KEY, "salt"]).select("first_id", "fact_id"))
+    return met.where("fact_id != first_id").distinct()
+
+
+def claim_records(facts: DataFrame, evidence: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``first_id, copies``: one record per claim with evidence, with the number of its copies (1: no other)."""
-    return claim_groups(keyed_claims(facts, evidence)).groupBy("first_id").agg(F.max("n").alias("copies"))
+    claims = cut(keyed_claims(facts, evidence))
+    return claim_groups(salted(claims, hot_keys(claims, hot_rows))).groupBy("first_id").agg(F.max("n").alias("copies"))
 
 
 def all_records(facts: DataFrame, evidence: DataFrame) -> DataFrame:

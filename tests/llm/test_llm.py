@@ -177,10 +177,17 @@ def test_copies(spark, hot):
     f = spark.createDataFrame(f, "id bigint, doc_id bigint, subject string, metric string, value_raw string").withColumn("quote", F.lit("clash"))
     e = spark.createDataFrame(e, "fact_id bigint, quote string").withColumn("id", F.lit(7))
     assert {tuple(x) for x in copies.copies(f, e, hot).collect()} == {(1, 2), (1, 5), (6, 7)}
-    assert {(x.first_id, x.copies) for x in copies.claim_records(f, e).collect()} == {(1, 3), (3, 1), (4, 1), (6, 2), (9, 1)}
+    assert {(x.first_id, x.copies) for x in copies.claim_records(f, e, hot).collect()} == {(1, 3), (3, 1), (4, 1), (6, 2), (9, 1)}
     assert copies.copies(f.where("false"), e).count() == 0
 
 
+def test_numbers_that_come_to_stand_side_by_side(spark):
+    f = [(i, 1, "Acme", "Votes polled on resolution 7", "435.8‰") for i in (1, 2)] + [(i, 1, "Acme", "Output", "12 500") for i in (3, 4, 5)] + [(6, 1, "Acme", "Output", "12501")]
+    e = [(1, "Acme: Votes polled on resolution 7 435.8‰"), (2, "435.8‰; Acme; Votes polled on resolution 7"), (3, "Output 12,500"), (4, "12500 output"), (5, "output 12 500"), (6, "output 12501")]
+    f = spark.createDataFrame(f, "id bigint, doc_id bigint, subject string, metric string, value_raw string")
+    assert {tuple(x) for x in copies.copies(f, spark.createDataFrame(e, "fact_id bigint, quote string")).collect()} == {(1, 2), (3, 4), (3, 5)}
+
+
 def test_records_of_facts_without_a_quote(spark):
     f = [(1, 1, "Acme", "m", "5"), (2, 1, "acme", "m", "5"), (8, 1, "no quote", "m", "1"), (9, 1, "no evidence", "m", "1"), (9, 1, "no evidence", "m", "1"), (None, 1, "x", "m", "1"), (10, 1, "Acme", "m", "6")]
     f = spark.createDataFrame(f, "id bigint, doc_id bigint, subject string, metric string, value_raw string")
