@@ -117,6 +117,25 @@ def test_piece_boundaries():
     assert pieces.split_text("", None) == [(0, 0, 0)]
 
 
+def test_sections_nest_and_list_items_stay_whole():
+    say = lambda c, n: " ".join(f"Sentence {i} of {c} ends here." for i in range(n))
+    text = "\n".join(["# A", say("A", 3), "## A1", say("A1", 10), "## A2", say("A2", 2), "# B", say("B", 5), "## B1", say("B1", 3)])
+    parts = [text[n:e] for _, n, e in pieces.split_text(text, None, 330, 0)]
+    assert "".join(parts) == text and all(len(p) <= 330 for p in parts)
+    assert any(p.startswith("# B\n") for p in parts) and not any("## A2" in p and "# B\n" in p for p in parts)
+    assert any(p.startswith("## A2\n") for p in parts)
+    listed = "Offices are listed here.\n" + "\n".join(f"- office {i} in the city\n  whose lease of {i} years ends\n  - open on Mondays {i}\n    and Fridays" for i in range(30))
+    parts = [listed[n:e] for _, n, e in pieces.split_text(listed, None, 260, 0)]
+    assert "".join(parts) == listed and all(p.startswith(("- office", "Offices")) for p in parts)
+    t = pieces.tree(listed)
+    items = t.children[1].children or t.children
+    assert sum(listed[x.start:].startswith("- office") for x in [*t.children, *items]) >= 30
+    deep = "\n".join(" " * i + "- x" for i in range(3000))
+    _check_pieces(deep, pieces.split_text(deep, None, 200, 20), 200, 20)
+    numbers = "\n".join(f"{i}. point {i} of the list" for i in range(1, 60))
+    assert all(numbers[n:].split(".")[0].isdigit() for _, n, _ in pieces.split_text(numbers, None, 300, 0))
+
+
 def test_pieces_query(spark):
     w = spark.createDataFrame([(1, "a b " * 1500, [(0, 10)]), (2, "short", None), (3, None, None), (4, "", None)], "id bigint, text string, block_spans array<struct<s:int,e:int>>")
     b = spark.createDataFrame([(1, "z" * 4001), (2, "z" * 4000)], "id bigint, text string")
