@@ -103,10 +103,10 @@ def text_lines(text: Column) -> Column:
     return F.split(text, r"\r\n|\r|\n")
 
 
-def text_keys(text: Column) -> Column:
-    """Keys of a text's lines, made in one pass over the whole text; empty for lines without letters and digits."""
+def keyed_text(text: Column) -> Column:
+    """A text with the keys of its lines in their places, made in one pass; line ends stay."""
     kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{Nd}\r\n]+", "")
-    return text_lines(F.regexp_replace(kept, r"\p{Nd}+", "0"))
+    return F.regexp_replace(kept, r"\p{Nd}+", "0")
 
 
 def with_source_list(df: DataFrame, lists: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def clean_documents(blocks: DataFrame, documents: DataFrame, min_docs: int = MIN
     often = frequent_lines(line_bitmaps(lines), documents_per_source(lines), min_docs, min_share)
     drop = cut(often.groupBy("source").agg(F.collect_set(F.struct("k1", "k2")).alias("gone")))
     d = with_source_list(documents.select("doc_id", "source", "text"), drop)
-    keys = F.transform(text_keys(F.col("text")), lambda k: F.struct(*[h.alias(n) for h, n in zip(hash128(k), ("k1", "k2"))]))
+    keys = F.transform(text_lines(keyed_text(F.col("text"))), lambda k: F.struct(*[h.alias(n) for h, n in zip(hash128(k), ("k1", "k2"))]))
     filled = F.transform(text_lines(F.col("text")), lambda x: x.rlike(r"[^\s]"))
     z = F.arrays_zip(text_lines(F.col("text")).alias("line"), keys.alias("key"), filled.alias("filled"))
     z = F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), z)

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ledgerloom.llm.keys import hash128, line_key
-from ledgerloom.llm.site_lines import BROADCAST_BYTES, MIN_SHARE, text_keys
+from ledgerloom.llm.site_lines import BROADCAST_BYTES, MIN_SHARE, keyed_text, text_lines
 from ledgerloom.session import cut
 
 # Parameters of the decision.
@@ -45,7 +47,8 @@ BATCH_WORDS = 500_000
 _LINK = regex.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>|</a>|(?<=\])\([^)\s]*\)")
 _TAG = regex.compile(r"(#[\p{L}\p{M}_]{2,})\p{N}*")
 _WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)?|\p{N}+")
-_SENTENCES = regex.compile(r"(?<=[.!?।])[\"”’)]*\s+|\n")
+_PLAIN_WORDS = re.compile(r"[a-z]+(?:'[a-z]+)?|[0-9]+")  # the same where all is ASCII
+_SENTENCES = re.compile(r"(?<=[.!?।])[\"”’)]*\s+|\n")
 _LINES = re.compile(r"\r\n|\r|\n")
 _END = (".", "!", "?", "।")
 
@@ -143,9 +146,9 @@ def _tokens(body: str) -> tuple[list[str], int, float]:
         tagged = sum(len(t) for t in _TAG.findall(bare))
         linked = 1 - (len(bare.replace(" ", "")) - tagged) / max(1, len(body.replace(" ", "")))
         bare = _TAG.sub(r"\1", bare)  # a number at the end of a tag is no number of the text
-    words, in_clause, find = [], 0, _WORDS.findall
+    words, in_clause = [], 0
     for s in _SENTENCES.split(bare.casefold()):
-        own = find(s)
+        own = (_PLAIN_WORDS if s.isascii() else _WORDS).findall(s)
         if len(own) >= SENTENCE_WORDS and s.rstrip(" \"”’)").endswith(_END):
             in_clause += len(own)
         words += own
@@ -159,9 +162,12 @@ def measure(bodies: list[str]) -> list[tuple[int, float, float, float, float, fl
 
     def flush() -> None:
         ids: dict[str, int] = {}
-        pages = [np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for words, _, _ in held]
-        of = list(ids)
-        chars, number = np.array([len(w) for w in of], np.int64), np.array([w[0].isdigit() for w in of], bool)
+        n = count()
+        pages = [np.fromiter(map(ids.setdefault, words, n), np.int64, len(words)) for words, _, _ in held]
+        of = np.fromiter(ids.values(), np.int64, len(ids))
+        chars, number = np.zeros(next(n), np.int64), np.zeros(next(n), bool)
+        chars[of] = np.fromiter(map(len, ids), np.int64, len(ids))
+        number[of] = np.fromiter((w[0].isdigit() for w in ids), bool, len(ids))
         s = Suffixes(pages, REPEATS)
         for (words, in_clause, linked), page, long, heavy in zip(held, pages, s.longest(), s.heaviest(MAX_PHRASE, PHRASE_TIMES).tolist()):
             n = len(words)
@@ -196,17 +202,18 @@ def is_case(m: tuple[int, float, float, float, float, float]) -> bool:
     return phrase >= PHRASE
 
 
-def _keys(text: Column) -> Column:
-    """128-bit keys of a text's lines; null for lines without letters and digits."""
-    return F.transform(text_keys(text), lambda k: F.when(k != "", F.struct(*[h.alias(n) for h, n in zip(hash128(k), ("k1", "k2"))])))
+def pages_of(documents: DataFrame) -> DataFrame:
+    """``doc_id, source, text, h1, h2, key_text, title``: pages with a text, with the keys of its lines in their places, and of their title."""
+    h1, h2 = hash128(F.col("text"))
+    return documents.where("text is not null").select("doc_id", "source", "text", h1.alias("h1"), h2.alias("h2"), keyed_text(F.col("text")).alias("key_text"),
+                                                      F.nullif(line_key(F.col("title")), F.lit("")).alias("title"))
 
 
-def keyed_pages(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, text, h1, h2, keys, title``: pages with a text, the keys of their lines and of their title."""
-    t = line_key(F.col("title"))
-    title = F.when(t != "", F.struct(*[h.alias(n) for h, n in zip(hash128(t), ("k1", "k2"))]))
-    h1, h2 = hash128(F.col("text"))
-    return documents.where("text is not null").select("doc_id", "source", "text", h1.alias("h1"), h2.alias("h2"), _keys(F.col("text")).alias("keys"), title.alias("title"))
+def lines_of(pages: DataFrame) -> DataFrame:
+    """``source, h1, h2, k1, k2``: each line of each text of a source; copies of a text give the same rows."""
+    k1, k2 = hash128(F.col("key"))
+    lines = pages.where("source is not null").select("source", "h1", "h2", F.explode(F.array_distinct(text_lines(F.col("key_text")))).alias("key"))
+    return lines.where("key != ''").select("source", "h1", "h2", k1.alias("k1"), k2.alias("k2"))
 
 
 def site_lines(pages: DataFrame) -> DataFrame:
@@ -214,32 +221,40 @@ def site_lines(pages: DataFrame) -> DataFrame:
 
     Copies of a text count as one.
     """
-    texts = (pages.where("source is not null").select("source", "h1", "h2", F.array_distinct(F.array_compact("keys")).alias("keys")).where("size(keys) > 0")
-             .groupBy("source", "h1", "h2").agg(F.any_value("keys").alias("keys")))
-    texts = cut(texts.select("source", "keys"))
-    per = texts.groupBy("source").agg(F.count("*").alias("texts"))
-    n = texts.select("source", F.inline("keys")).groupBy("source", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= SITE_DOCS)
+    lines = cut(lines_of(pages).distinct())
+    per = lines.select("source", "h1", "h2").distinct().groupBy("source").agg(F.count("*").alias("texts"))
+    n = lines.groupBy("source", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= SITE_DOCS)
     share = lambda s: F.col("n") >= F.ceil(F.col("texts") * F.lit(s) - 1e-9)
     return n.join(per, "source").where(share(SITE_SHARE)).select("source", "k1", "k2", share(MIN_SHARE).alias("common"))
 
 
-def own_text(text: str, keys: list[tuple[int, int] | None], title: tuple[int, int] | None, site: dict[tuple[int, int], bool]) -> tuple[str, str | None]:
-    """``(body, wide)``: a page's text without its title line and its site's lines (key to common).
+def _hashes(key: str) -> tuple[int, int]:
+    """The two hashes of a line's key as Spark makes them: 64-bit xxHash, seed 42, chained over the columns."""
+    k = key.encode()
+    second = xxh64_intdigest(b"loom", xxh64_intdigest(k, xxh64_intdigest(b"ledger", 42)))
+    return tuple(h - (1 << 64) if h >> 63 else h for h in (xxh64_intdigest(k, 42), second))
+
+
+def own_text(text: str, key_text: str, title: str | None, site: dict[tuple[int, int], bool]) -> tuple[str, str | None]:
+    """``(body, wide)``: a page's text without its title line and its site's lines (hashes of the key to common).
 
     The title is one line: repeats of it are text.  Without a title a short
     first line is one where others follow.  ``wide`` is the text without those
     site lines only that stand in problem 1's share, or with all of them where
     they make up the page; None where it is the body.
     """
-    lines = [(line, k) for line, k in zip(_LINES.split(text), keys) if k is not None]
+    lines = [(line, k) for line, k in zip(_LINES.split(text), _LINES.split(key_text)) if k]
     if title is None and len(lines) > 1 and len(lines[0][0]) <= TITLE_CHARS:
         title = lines[0][1]
     at = next((i for i, (_, k) in enumerate(lines) if k == title), None)
     if at is not None:
         del lines[at]
-    body = "\n".join(x for x, k in lines if k not in site)
-    whole = "\n".join(x for x, _ in lines)
-    wide = "\n".join(x for x, k in lines if not site.get(k, False))
+    whole = "\n".join([x for x, _ in lines])
+    if not site:
+        return whole, None
+    found = [site.get(_hashes(k)) for _, k in lines]
+    body = "\n".join([x for (x, _), c in zip(lines, found) if c is None])
+    wide = "\n".join([x for (x, _), c in zip(lines, found) if not c])
     if len(wide) < len(whole) * LEFT:
         wide = whole
     return body, None if wide == body else wide
@@ -249,14 +264,6 @@ _MEASURES = ("words", "clause", "numbers", "linked", "covered", "phrase")
 _RESULT = "doc_id bigint, words int, clause double, numbers double, linked double, covered double, phrase double, stuffed boolean"
 
 
-def _pairs(col: pa.Array) -> list[list[tuple[int, int] | None]]:
-    """Lists of (k1, k2), None for null structs."""
-    v = col.values
-    k = [None if no else p for no, p in zip(v.is_null().to_pylist(), zip(v.field(0).to_pylist(), v.field(1).to_pylist()))]
-    ends = col.offsets.to_pylist()
-    return [k[a:b] for a, b in zip(ends[:-1], ends[1:])]
-
-
 def page_measures(documents: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``doc_id, words, clause, numbers, linked, covered, phrase, stuffed`` of every page with a text.
 
@@ -266,29 +273,28 @@ def page_measures(documents: DataFrame, broadcast_bytes: int = BROADCAST_BYTES)
     lines-per-document / SITE_SHARE of them), else each text's own ones are
     joined to it; the results are the same.
     """
-    pages = keyed_pages(documents)
+    pages = pages_of(documents)
     site = cut(site_lines(pages))
     if site.count() * 200 <= broadcast_bytes:  # about the bytes of a key in a Python dictionary
         by_source: dict[str, dict[tuple[int, int], bool]] = {}
         for r in site.collect():  # its size is checked above
             by_source.setdefault(r.source, {})[r.k1, r.k2] = r.common
-        rows = pages.select("doc_id", "text", "keys", "title", "source")
+        rows = pages.select("doc_id", "text", "key_text", "title", "source")
     else:
         by_source = None
-        lines = pages.where("source is not null").select("source", "h1", "h2", F.array_distinct(F.array_compact("keys")).alias("keys")).dropDuplicates(["source", "h1", "h2"])
-        hits = (lines.select("source", "h1", "h2", F.inline("keys")).join(site.hint("merge"), ["source", "k1", "k2"])
+        hits = (lines_of(pages).distinct().join(site.hint("merge"), ["source", "k1", "k2"])
                 .groupBy("source", "h1", "h2").agg(F.collect_list(F.struct("k1", "k2", "common")).alias("site")))
-        rows = pages.join(hits.hint("merge"), ["source", "h1", "h2"], "left").select("doc_id", "text", "keys", "title", "site")
+        rows = pages.join(hits.hint("merge"), ["source", "h1", "h2"], "left").select("doc_id", "text", "key_text", "title", "site")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, titles = b.column(0), b.column(1).to_pylist(), b.column(3).to_pylist()
+            ids, texts, keys, titles = b.column(0), *(b.column(i).to_pylist() for i in (1, 2, 3))
             last = b.column(4).to_pylist()
             if by_source is None:
                 sites = [{(x["k1"], x["k2"]): x["common"] for x in s or ()} for s in last]
             else:
                 sites = [by_source.get(s, {}) for s in last]
-            own = [own_text(t, k, None if h is None else (h["k1"], h["k2"]), s) for t, k, h, s in zip(texts, _pairs(b.column(2)), titles, sites)]
+            own = list(map(own_text, texts, keys, titles, sites))
             first = measure([x for x, _ in own])
             also = [i for i, (_, w) in enumerate(own) if w is not None and not is_case(first[i])]
             for i, m in zip(also, measure([own[i][1] for i in also])):

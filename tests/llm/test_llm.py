@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bitmaps, bktree, bpe, canonical, copies, groups, mixing, pieces, plans, site_lines, stuffing
-from ledgerloom.llm.keys import content_tokens, line_key
+from ledgerloom.llm.keys import content_tokens, hash128, line_key
 
 D = "/root/testdata/sf0.001"
 
@@ -433,8 +433,14 @@ def test_title_is_one_line(spark):
     rows = [(1, "Gold rate live", "Gold rate live\n" * 40), (2, None, listed), (3, "", listed + "\nEnd"), (4, None, "Note\n" + PROSE), (5, "Board note", "Board note\n" + PROSE), (6, None, "Gold rate live\n" * 40), (7, None, "Gold rate live")]
     d = spark.createDataFrame([(i, None, t, x) for i, t, x in rows], "doc_id bigint, source string, title string, text string")
     assert {x.doc_id for x in stuffing.stuffed_pages(d).collect()} == {1, 2, 3, 6}
-    assert stuffing.own_text("Note\nB\r\nC\rnote", [(1, 1), (2, 2), (3, 3), (1, 1)], (1, 1), {}) == ("B\nC\nnote", None)
-    assert stuffing.own_text("Gold rate live", [(1, 1)], None, {}) == ("Gold rate live", None) and stuffing.own_text("Note\nB", [(1, 1), (2, 2)], None, {}) == ("B", None)
+    assert stuffing.own_text("Note\nB\r\nC\rnote", "note\nb\r\nc\rnote", "note", {}) == ("B\nC\nnote", None)
+    assert stuffing.own_text("Gold rate live", "goldratelive", None, {}) == ("Gold rate live", None) and stuffing.own_text("Note\nB", "note\nb", None, {}) == ("B", None)
+
+
+def test_hashes_are_those_of_the_tables(spark):
+    keys = ["", "a", "share this", "तमवेलु", "x" * 500]
+    d = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert [stuffing._hashes(k) for k in keys] == [(r.a, r.b) for r in d.select(*[h.alias(n) for h, n in zip(hash128(F.col("k")), "ab")]).collect()]
 
 
 # --- all ---------------------------------------------------------------------
