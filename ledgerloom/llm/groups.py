@@ -2,21 +2,31 @@
 
 Rounds of reduction on the edge table: vertices of degree one are stripped,
 chains of degree-two vertices are ranked by pointer doubling and replaced by
-one edge.  What is left, the core, is solved by hooking every vertex to its
-smallest neighbour and contracting.  Removed vertices keep a pointer to a
-vertex that outlived them; labels flow back along the pointers in reverse.
-Lineage is cut after every step; no vertex or edge goes to the driver.
+one edge.  What is left, the core, is solved in one task once it has at most
+CORE_EDGES edges; a larger one that reduces no further is contracted by
+hooking every vertex to its smallest neighbour until it has.  Removed vertices
+keep a pointer to a vertex that outlived them; labels flow back along the
+pointers in reverse.  Lineage is cut after every step; no vertex or edge goes
+to the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.session import Scratch, cut
 
-#: Reduction goes on while a round leaves at most this share of the edges.
-KEEP_REDUCING = 0.5
+#: A core of up to so many edges (16 bytes each) is solved in one task.
+CORE_EDGES = 1_000_000
+#: Groups of more vertices than this get their identifier by a broadcast list instead of a join on one key.
+HOT_GROUP = 100_000
+#: At most so many groups are on that list: the bound rises with the number of vertices.
+MAX_HOT = 10_000
 
 
 def linked_pairs(relations: DataFrame, verdict: str = "corroborates") -> DataFrame:
@@ -90,18 +100,65 @@ def _contract(e: DataFrame, t: Scratch) -> tuple[DataFrame, DataFrame]:
     return t.cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), hook
 
 
-def groups(edges: DataFrame) -> DataFrame:
+def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(vertices, smallest vertex of their component)`` of an edge list."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        # hook the roots of both ends to the smaller one, then shorten all paths
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        if np.array_equal(root, before):
+            return ids, ids[root]
+
+
+def _core(e: DataFrame, t: Scratch) -> DataFrame:
+    """(v, p) of a core of at most CORE_EDGES edges, solved in one task; p is the smallest vertex of the component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            v, p = components(*(np.concatenate([b[c].to_numpy() for b in held]) for c in "ab"))
+            yield pd.DataFrame({"v": v[v != p], "p": p[v != p]})
+
+    return t.cut(e.coalesce(1).mapInPandas(run, "v bigint, p bigint"))
+
+
+def _with_group(labels: DataFrame, t: Scratch) -> DataFrame:
+    """``fact_id, group_id`` from (v, root): the smallest vertex of each root's group, for the root too."""
+    roots = t.cut(labels.groupBy("root").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("root", F.least("low", "root").alias("group_id"), "n"))
+    most = max(HOT_GROUP, (roots.agg(F.sum("n")).first()[0] or 0) // MAX_HOT)
+    hot = roots.where(F.col("n") > most).select("root", F.col("group_id").alias("hot_id"))
+    own = roots.select(F.col("root").alias("fact_id"), "group_id")
+    rest = roots.where(F.col("n") <= most).select("root", "group_id")
+    if hot.isEmpty():
+        return labels.join(rest.hint("merge"), "root").select(F.col("v").alias("fact_id"), "group_id").unionByName(own)
+    m = labels.join(F.broadcast(hot), "root", "left")
+    cold = m.where("hot_id is null").join(rest.hint("merge"), "root").select(F.col("v").alias("fact_id"), "group_id")
+    return m.where("hot_id is not null").select(F.col("v").alias("fact_id"), F.col("hot_id").alias("group_id")).unionByName(cold).unionByName(own)
+
+
+def groups(edges: DataFrame, core_edges: int = CORE_EDGES, unique: bool = False) -> DataFrame:
     """``fact_id, group_id`` of every vertex; group_id is the smallest vertex of its component.
 
-    No edges: no rows.  Repeated edges and either direction of an edge count once.
+    No edges: no rows.  Repeated edges and either direction of an edge count
+    once; ``unique`` says that every edge stands once with a < b.
     """
     t = Scratch(edges.sparkSession)
-    e = t.cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    once = edges if unique else edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    e = t.cut(once.select("a", "b"))
     log: list[DataFrame] = []
-    n = e.count()
-    reducing = True
+    n, first, reduces = e.count(), True, True
     while n:
-        if reducing:
+        if n <= core_edges and not first:
+            log.append(_core(e, t))
+            break
+        if reduces:
             e, gone = _strip(e, t)
             log.append(gone)
             if not e.isEmpty():
@@ -111,8 +168,8 @@ def groups(edges: DataFrame) -> DataFrame:
             e, gone = _contract(e, t)
             log.append(gone)
         before, n = n, e.count()
-        # the core is left to contraction once a round of reduction no longer pays
-        reducing = reducing and n <= KEEP_REDUCING * before
+        # contraction makes new leaves and chains, so reduction is tried again after it
+        first, reduces = False, n < before or not reduces
     if not log:
         out = cut(e.select(F.col("a").alias("fact_id"), F.col("b").alias("group_id")))
         t.drop()
@@ -124,8 +181,6 @@ def groups(edges: DataFrame) -> DataFrame:
         else:
             known = labels.select(F.col("v").alias("p"), F.col("root").alias("r"))
             labels = t.cut(labels.unionByName(gone.join(known.hint("merge"), "p", "left").select("v", F.coalesce("r", "p").alias("root"))))
-    roots = labels.groupBy("root").agg(F.min("v").alias("low")).select("root", F.least("low", "root").alias("group_id"))
-    members = labels.unionByName(roots.select(F.col("root").alias("v"), "root"))
-    out = cut(members.join(roots.hint("merge"), "root").select(F.col("v").alias("fact_id"), "group_id"))
+    out = cut(_with_group(labels, t))
     t.drop()
     return out

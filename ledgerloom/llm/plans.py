@@ -29,7 +29,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return groups.groups(groups.linked_pairs(table(spark, d, "relations")))
+    return groups.groups(groups.linked_pairs(table(spark, d, "relations")), unique=True)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

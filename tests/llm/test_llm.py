@@ -169,10 +169,23 @@ def test_groups(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100 + i, 100 + (i + 1) % 17) for i in range(17)] + [(200, 201 + i) for i in range(30)]
     edges += [(300 + r.randrange(40), 300 + r.randrange(40)) for _ in range(60)] + [(400 + i, 400 + j) for i in range(6) for j in range(i)] + [(500, 501), (501, 500), (510, 510), (601, 600)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
-    assert {(x.fact_id, x.group_id) for x in groups.groups(df).collect()} == set(_components(edges).items())
+    for core in (0, 20, groups.CORE_EDGES):  # all distributed, the end of it in one task, most of it
+        assert {(x.fact_id, x.group_id) for x in groups.groups(df, core).collect()} == set(_components(edges).items())
     assert groups.groups(df.where("false")).count() == 0
 
 
+def test_core_and_hot_groups(spark, monkeypatch):
+    r = random.Random(8)
+    edges = [(r.randrange(900), r.randrange(900)) for _ in range(700)] + [(i, i + 1) for i in range(2000, 2600)] + [(5000, 5001 + i) for i in range(300)]
+    v, root = groups.components(*(np.array(x) for x in zip(*edges)))
+    want = _components(edges)
+    assert {i: g for i, g in zip(v.tolist(), root.tolist())} == {i: want.get(i, i) for i in v.tolist()}
+    monkeypatch.setattr(groups, "HOT_GROUP", 100)
+    monkeypatch.setattr(groups, "MAX_HOT", 1000)
+    got = {(x.fact_id, x.group_id) for x in groups.groups(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == set(want.items())
+
+
 def test_linked_pairs(spark):
     rows = [(1, 10, 11, "corroborates"), (2, 11, 10, "contradicts"), (3, 12, 13, None), (4, 13, 12, "corroborates"), (5, 14, 14, "corroborates"), (6, None, 3, "corroborates"), (7, 15, 16, "corroborates"), (7, 15, 16, "corroborates"), (8, 17, 18, "corroborates"), (9, 17, 18, None)]
     df = spark.createDataFrame(rows, "id bigint, fact_a bigint, fact_b bigint, final_verdict string")
