@@ -290,11 +290,37 @@ def pairs_capped_uniform(facts: DataFrame) -> DataFrame:
     return pairing.capped_uniform(facts)
 
 
-@query()
+# greedy choice as a recursion over the facts of all metrics in step: at step i every metric's i-th fact meets its open facts
+_CAPPED = f"""
+with recursive f as (
+  select id, metric_id, nullif(nullif(canon_unit, ''), 'UNKNOWN') as unit, row_number() over (partition by metric_id order by id) as i
+  from facts where metric_id is not null and metric_id <> ''
+),
+r as (
+  select metric_id, cast(0 as bigint) as i, cast([] as struct(id bigint, unit varchar, room int)[]) as op, cast(null as bigint) as id, cast([] as bigint[]) as hit
+  from f where i = 1
+  union all
+  select metric_id, i, list_filter(list_concat(list_transform(op, lambda o: struct_pack(id := o.id, unit := o.unit, room := o.room - case when list_contains(hit, o.id) then 1 else 0 end)),
+           [struct_pack(id := id, unit := unit, room := cast(6 - len(hit) as int))]), lambda o: o.room > 0), id, hit
+  from (
+    select r.metric_id, f.i, r.op, f.id, f.unit, list_transform(list_filter(r.op, lambda o: f.unit is null or o.unit is null or o.unit = f.unit), lambda o: o.id)[1:6] as hit
+    from r join f on f.metric_id = r.metric_id and f.i = r.i + 1
+  )
+)
+select unnest(hit) as fact_a, id as fact_b from r where len(hit) > 0
+"""
+
+
+@query(_CAPPED)
 def pairs_capped(facts: DataFrame) -> DataFrame:
     return pairing.capped_by_metric(facts)
 
 
+@query()
+def candidate_pairs(facts: DataFrame) -> DataFrame:
+    return pairing.candidate_pairs(facts)
+
+
 _FULL = "nullif({0}.entity_id, '')"
 _DIFF = ("list_sort(list_distinct(list_concat(list_filter(coalesce(map_keys(a.qualifiers), []), lambda k: coalesce(map_extract(a.qualifiers, k)[1] <> map_extract(b.qualifiers, k)[1], false)), "
          f"case when {_FULL.format('a')} <> {_FULL.format('b')} then ['subject'] else [] end, "

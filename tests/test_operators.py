@@ -1,6 +1,7 @@
 """Operators on small hand-made tables, with nulls, ties, repeats and empty input."""
 
 import random
+import re
 
 from ledgerloom.operators import grounding, ingest, pairing, reconcile, timestamps, units_history, views
 from ledgerloom.session import table
@@ -43,24 +44,60 @@ def test_adjudication(spark):
                    (4, 5): (None, "insufficient_context"), (1, 4): (None, "corroborates")}
 
 
-def test_greedy_capped_matches_plain_restatement(spark):
+def _greedy(scored, cap):
+    used, out = {}, set()
+    for (x, y), _ in sorted(scored.items(), key=lambda kv: (-kv[1], kv[0])):
+        if used.get(x, 0) < cap and used.get(y, 0) < cap:
+            used[x], used[y] = used.get(x, 0) + 1, used.get(y, 0) + 1
+            out.add((x, y))
+    return out
+
+
+def _compatible(x, y):
+    return not x or not y or "UNKNOWN" in (x, y) or x == y
+
+
+def test_capped_by_metric_matches_plain_restatement(spark):
     r = random.Random(5)
-    for n, cap in ((1, 2), (10, 2), (40, 3), (60, 6)):
-        ids, units = list(range(n)), [r.choice([None, "INR", "USD"]) for _ in range(n)]
-        used, want = [0] * n, []
-        for i in range(n):
-            for j in range(i + 1, n):
-                if used[i] < cap and used[j] < cap and (units[i] is None or units[j] is None or units[i] == units[j]):
-                    used[i] += 1
-                    used[j] += 1
-                    want.append((i, j))
-        assert pairing.greedy_capped(ids, units, cap) == want
+    for n, cap in ((1, 2), (40, 2), (150, 3), (200, 6)):
+        f = [(i * 3, r.choice(["m1", "m2", "", None]), r.choice([None, "INR", "USD", "UNKNOWN", "", "DAYS"])) for i in range(n)]
+        scored = {(x[0], y[0]): 1.0 for x in f for y in f if x[0] < y[0] and x[1] and x[1] == y[1] and _compatible(x[2], y[2])}
+        df = spark.createDataFrame(f, "id bigint, metric_id string, canon_unit string")
+        assert {tuple(x) for x in pairing.capped_by_metric(df, cap).collect()} == _greedy(scored, cap)
+
+
+def test_candidate_pairs_match_plain_restatement(spark):
+    """Both channels, entity and unit rules, one cap; names of one word set under several metrics and none."""
+    r = random.Random(11)
+    names = ["operating revenue growth", "Operating Revenue growth rate", "growth of operating revenue", "net profit", "net profit after tax", "net profit before tax and interest", "of", "", "revenue", "operating growth", "profit net", None]
+    stop = {"of", "from", "the", "in", "for", "and", "a", "on", "to"}
+    for n, cap in ((60, 2), (220, 3), (300, 6)):
+        f = [(i * 2 + 1, r.choice(names), r.choice([None, None, "rev", "profit", "growth"]), r.choice([None, "e1", "e2", ""]), r.choice([None, "INR", "INR", "USD", "UNKNOWN"])) for i in range(n)]
+        words = {i: frozenset(w for w in re.findall("[a-z0-9]+", (m or "").lower()) if w not in stop and len(w) > 2) for i, m, *_ in f}
+        scored = {}
+        for x in f:
+            for y in f:
+                if x[0] < y[0] and _compatible(x[4], y[4]) and not (x[3] and y[3] and x[3] != y[3] and x[2] != y[2]):
+                    u, v = words[x[0]], words[y[0]]
+                    s = 1.0 if x[2] and x[2] == y[2] else len(u & v) / len(u | v) if u and v else 0
+                    if s >= 0.6:
+                        scored[x[0], y[0]] = s
+        df = spark.createDataFrame(f, "id bigint, metric string, metric_id string, entity_id string, canon_unit string")
+        got = {(x.fact_a, x.fact_b): x.score for x in pairing.candidate_pairs(df, cap).collect()}
+        assert set(got) == _greedy(scored, cap) and all(abs(scored[p] - s) < 1e-12 for p, s in got.items()) and len(set(got.values())) > 1
+    assert pairing.candidate_pairs(df.where("false")).count() == 0
+
+
+def test_components_by_rounds_equal_one_task(spark):
+    r = random.Random(3)
+    links = spark.createDataFrame([(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)], "a bigint, b bigint")
+    assert {tuple(x) for x in pairing.grouped(links).collect()} == {tuple(x) for x in pairing.grouped(links, 0).collect()}
 
 
 def test_capped_uniform_equals_greedy(spark):
     f = spark.createDataFrame([fact(i * 7) for i in range(50)], FACT)
     got = {tuple(x) for x in pairing.capped_uniform(f, 6).collect()}
-    assert got == set(pairing.greedy_capped([i * 7 for i in range(50)], ["INR"] * 50, 6))
+    assert got == {tuple(x) for x in pairing.capped_by_metric(f, 6).collect()} and got
 
 
 def test_similar_sets(spark):
