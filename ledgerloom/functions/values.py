@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import floor, log10
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,30 +80,34 @@ def significant_figures(raw: Column) -> Column:
     return F.when(digits.rlike("[0-9]"), F.when(digits.contains("."), frac).otherwise(whole_)).cast("int")
 
 
-@F.pandas_udf(T.DoubleType())
-def round_figures(value: pd.Series, figures: pd.Series) -> pd.Series:
-    """Round to significant figures, half to even on the exact binary value (SCL-18)."""
+@F.arrow_udf(T.DoubleType())
+def _round_ties(value: pa.Array, figures: pa.Array) -> pa.Array:
+    """Rounded to significant figures, half to even on the exact binary value; null stays null."""
+    out = [None] * len(value)
+    for i in value.is_valid().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+        v = value[i].as_py()
+        out[i] = round(v, -(floor(log10(abs(v))) - figures[i].as_py() + 1))
+    return pa.array(out, pa.float64())
 
-    def one(v: float, n: float) -> float | None:
-        if pd.isna(v) or pd.isna(n):
-            return None
-        if v == 0 or n <= 0:
-            return 0.0
-        return round(v, -(floor(log10(abs(v))) - int(n) + 1))
 
-    return pd.Series([one(v, n) for v, n in zip(value, figures)], dtype="float64")
+def round_figures(value: Column, figures: Column) -> Column:
+    """Round to significant figures, half to even on the exact binary value (SCL-18).
 
-
-def round_mantissa(value: Column, figures: Column) -> Column:
-    """The same by mantissa, in generated code; differs at rare ties."""
+    The mantissa is rounded in generated code; only values at or next to a tie,
+    where its division may hide the exact value, go to Python.
+    """
     step = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))) - figures + 1)
-    return F.when((value == 0) | (figures <= 0), 0.0).otherwise(F.bround(value / step, 0) * step)
+    x = value / step
+    plain = (value != 0) & (figures > 0)
+    tie = plain & (F.abs(F.abs(x) - F.floor(F.abs(x)) - 0.5) < 1e-6)
+    exact = _round_ties(F.when(tie, value), F.when(tie, figures))
+    return F.when(value.isNull() | figures.isNull(), F.lit(None)).when(~plain, F.lit(0.0)).when(tie, exact).otherwise(F.bround(x, 0) * step)
 
 
-def values_agree(a: Column, b: Column, a_raw: Column, b_raw: Column, tol: float = 1e-3, exact: bool = False) -> Column:
+def values_agree(a: Column, b: Column, a_raw: Column, b_raw: Column, tol: float = 1e-3) -> Column:
     """Equal, within the tolerance, or equal at the coarser printed precision; null values never agree."""
     close = (a == b) | (F.abs(a - b) <= F.lit(tol) * F.greatest(F.abs(a), F.abs(b)))
-    n = F.least(significant_figures(a_raw), significant_figures(b_raw))
-    known = significant_figures(a_raw).isNotNull() & significant_figures(b_raw).isNotNull()
-    r = round_figures if exact else round_mantissa
-    return F.coalesce(close | (known & (r(a, n) == r(b, n))), F.lit(False))
+    fa, fb = significant_figures(a_raw), significant_figures(b_raw)
+    n = F.when(fa.isNotNull() & fb.isNotNull() & ~F.coalesce(close, F.lit(False)), F.least(fa, fb))
+    r, q = round_figures(a, n), round_figures(b, n)
+    return F.coalesce(close | (F.abs(r - q) <= F.abs(r) * 1e-12), F.lit(False))

@@ -228,11 +228,11 @@ def significant_figures(facts: DataFrame) -> DataFrame:
 
 
 def _agree(a: str, b: str) -> str:
-    n = f"least({_figures(a + '.value_raw')}, {_figures(b + '.value_raw')})"
-    r = lambda v: (f"(case when {v} = 0 or {n} <= 0 then 0.0 else round_even({v} / pow(10.0, floor(log10(abs({v}))) - {n} + 1), 0) * pow(10.0, floor(log10(abs({v}))) - {n} + 1) end)")
-    va, vb = f"{a}.canon_value", f"{b}.canon_value"
-    return (f"coalesce({va} = {vb} or abs({va} - {vb}) <= 0.001 * greatest(abs({va}), abs({vb})) or ({_figures(a + '.value_raw')} is not null and {_figures(b + '.value_raw')} is not null "
-            f"and {va} <> 0 and {vb} <> 0 and {r(va)} = {r(vb)}), false)")
+    fa, fb, va, vb = _figures(a + ".value_raw"), _figures(b + ".value_raw"), f"{a}.canon_value", f"{b}.canon_value"
+    # scientific notation rounds the exact binary value to so many figures
+    r = lambda v: f"case when {v} = 0 then '0' else format('{{:.' || (least({fa}, {fb}) - 1) || 'e}}', {v}) end"
+    return (f"coalesce({va} = {vb} or abs({va} - {vb}) <= 0.001 * greatest(abs({va}), abs({vb})) "
+            f"or ({fa} is not null and {fb} is not null and {r(va)} = {r(vb)}), false)")
 
 
 @query(f"select r.id, {_agree('a', 'b')} as agree from relations r join facts a on a.id = r.fact_a join facts b on b.id = r.fact_b")
@@ -353,18 +353,79 @@ _FINAL = ("case when rule in ('corroborates', 'corroborates_with_caveat') then '
 @query(f"with {_CLASSIFIED} select id, rule as rule_verdict, {_FINAL} as final_verdict, case when rule = 'different_period' then 'different_period' when rule = 'contradiction_candidate' then 'genuine_disagreement' end as reason_code from v")
 def relations_rules_only(relations: DataFrame, facts: DataFrame) -> DataFrame:
     c = reconcile.classify(relations.select("id", "fact_a", "fact_b"), facts)
-    final, reason = reconcile.rules_only(F.col("rule_verdict"))
+    final, reason, _ = reconcile.rules_only(F.col("rule_verdict"))
     return c.select("id", "rule_verdict", final.alias("final_verdict"), reason.alias("reason_code"))
 
 
 _KIND = "coalesce(nullif(regexp_extract(reason_code, '(scale|basis|vintage|period|scope|segment)', 1), ''), 'none')"
 
 
-@query()
+def _side(p: str) -> str:
+    return (f"case k when 'subject' then {p}.entity_id when 'unit' then {p}.canon_unit when 'period' then case when {p}.period_start is not null or {p}.period_end is not null "
+            f"then coalesce({p}.period_start, '') || '/' || coalesce({p}.period_end, '') end else map_extract({p}.qualifiers, k)[1] end")
+
+
+_CLOSE = "coalesce({0} = {1} or abs({0} - {1}) <= 0.001 * greatest(abs({0}), abs({1})), false)"
+_BUDGET = 2000
+_ADJUDICATED = f"""
+with latest as (
+  select * from (select *, row_number() over (partition by fact_a, fact_b order by id desc) as n from relations where fact_a is not null and fact_b is not null) where n = 1
+),
+{_CLASSIFIED.replace("from relations r join", "from latest r join").replace("r.reason_code,", "r.reason_code, r.confidence,")},
+w as (
+  select *, '{{' || array_to_string(list_transform(diff, lambda k: '"' || k || '":{{' || concat_ws(',', '"a":"' || ({_side('a')}) || '"', '"b":"' || ({_side('b')}) || '"') || '}}'), ',') || '}}' as qualifier_diff,
+    coalesce(a.confidence, 0) + coalesce(b.confidence, 0) as total,
+    case when coalesce(model_verdict, 'unrelated') in ('corroborates', 'contradicts', 'reconciled_by_context') then model_verdict else 'unrelated' end as mv, {_KIND} as kind
+  from v
+),
+k as (
+  select fact_a, fact_b, row_number() over (order by case when a.doc_id = b.doc_id then 1 else 0 end, case rule when 'contradiction_candidate' then 0 when 'reconcilable' then 1 when 'needs_model' then 2 else 9 end,
+    total desc, fact_a, fact_b) as call_rank
+  from w where rule in ('contradiction_candidate', 'reconcilable', 'needs_model')
+),
+x as (
+  select w.*, coalesce(call_rank <= {_BUDGET}, false) as called,
+    case kind when 'none' then true when 'scale' then {_CLOSE.format("a.canon_value * 100", "b.canon_value")} or {_CLOSE.format("a.canon_value", "b.canon_value * 100")}
+      when 'period' then a.period_start is distinct from b.period_start or a.period_end is distinct from b.period_end
+      else map_extract(a.qualifiers, kind)[1] is distinct from map_extract(b.qualifiers, kind)[1] end as ok
+  from w left join k on k.fact_a = w.fact_a and k.fact_b = w.fact_b
+),
+y as (
+  select *, called and mv = 'reconciled_by_context' and not ok as unproved, called and mv = 'contradicts' and len(mat) > 0 as apart, called and mv = 'corroborates' as vain,
+    case when kind = 'scale' and (a.canon_value is null or b.canon_value is null) then 'missing canonical values'
+      when kind = 'scale' then 'values do not reconcile under a factor of 100: ' || format('{{:g}}', a.canon_value) || ' vs ' || format('{{:g}}', b.canon_value)
+      else kind || ' was claimed to differ but both facts agree on it' end as note
+  from x
+)
+select fact_a, fact_b, rule as rule_verdict, case when called then mv end as model_verdict,
+  case when not called then {_FINAL} when unproved or apart or vain then 'needs_review' else mv end as final_verdict,
+  case when called then coalesce(reason_code, '') when rule = 'different_period' then 'different_period' when rule = 'contradiction_candidate' then 'genuine_disagreement' end as reason_code,
+  case when unproved then ' [unverified: ' || note || ']' when apart then ' [held: ' || array_to_string(mat, ', ') || ' differs, so the two may not be comparable]' when called then ''
+    when rule = 'different_period' then 'The two facts cover different periods, so their values are not in conflict.'
+    when rule = 'contradiction_candidate' then 'Same metric, period and unit; the values differ and no recorded qualifier distinguishes them. Decided by rule alone; no model review.'
+    when rule in ('reconcilable', 'needs_model') then 'no adjudication available for this pair' end as explanation,
+  qualifier_diff, case when called then '{{"kind":"' || kind || '","factor":"100"}}' end as claimed_transform,
+  case when called and mv = 'reconciled_by_context' then not unproved end as verified, case when called then not (unproved or apart or vain) end as agreed,
+  case when called then coalesce(confidence, 0) end as confidence
+from y
+"""
+
+
+@query(_ADJUDICATED)
 def adjudicated_relations(relations: DataFrame, facts: DataFrame) -> DataFrame:
-    pairs = sinks.keep_latest(relations.where("fact_a is not null and fact_b is not null").select("fact_a", "fact_b", "id", "model_verdict", "reason_code"), ["fact_a", "fact_b"], F.col("id"))
-    answers = pairs.select("fact_a", "fact_b", F.coalesce("model_verdict", F.lit("unrelated")).alias("verdict"), F.expr(_KIND).alias("kind"), F.lit("100").alias("factor"))
-    return reconcile.adjudicate(reconcile.classify(pairs.select("fact_a", "fact_b"), facts), answers)
+    """The stored pairs judged again: answers from the stored model verdicts, a budget that ends before all pairs are asked."""
+    kept = relations.where("fact_a is not null and fact_b is not null").select("fact_a", "fact_b", "id", "model_verdict", "reason_code", "confidence")
+    pairs = sinks.keep_latest(kept, ["fact_a", "fact_b"], F.col("id"))
+    answers = pairs.select("fact_a", "fact_b", F.coalesce("model_verdict", F.lit("unrelated")).alias("verdict"), "reason_code", F.expr(_KIND).alias("kind"), F.lit("100").alias("factor"), "confidence")
+    return reconcile.adjudicate(reconcile.classify(pairs.select("fact_a", "fact_b"), facts), facts, answers, _BUDGET)
+
+
+@query()
+def relations_built(relations: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts to relations end to end; answers where the stored relations have a model verdict."""
+    stored = sinks.keep_latest(relations.where("fact_a is not null and fact_b is not null").select("fact_a", "fact_b", "id", "model_verdict"), ["fact_a", "fact_b"], F.col("id"))
+    answers = stored.where("model_verdict is not null").select("fact_a", "fact_b", F.col("model_verdict").alias("verdict"))
+    return reconcile.build_relations(facts, answers)
 
 
 @query("select fact_a, fact_b, max(id) as id, arg_max(coalesce(final_verdict, ''), id) as final_verdict from relations group by 1, 2")

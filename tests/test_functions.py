@@ -37,10 +37,10 @@ def test_significant_figures(spark, raw, want):
 
 @pytest.mark.parametrize("a, b, ra, rb, want", [
     (8.142e10, 8.141538e10, None, None, True), (7.454082e10, 8.141538e10, None, None, False), (1.4e6, 1.429e6, None, None, False), (1.4e6, 1.429e6, "1.4", "1,429", True),
+    (2.675, 2.67, "2.675", "2.67", True), (2.675, 2.68, "2.675", "2.68", False), (-2.5, -2.0, "-2.5", "-2", True), (3.5, 4.0, "3.5", "4", True), (0.0, 1.0, "0", "1", False),
     (7.6e8, 7.58e8, "76", "758", True), (0.9, 1.6, "0.9", "1.6", False), (6.5, 6.6, "6.5", "6.6", False)])
-@pytest.mark.parametrize("exact", [False, True])
-def test_values_agree(spark, a, b, ra, rb, want, exact):
-    assert _one(spark, values.values_agree(F.col("a"), F.col("b"), F.col("ra"), F.col("rb"), exact=exact), a=a, b=b, ra=ra, rb=rb) is want
+def test_values_agree(spark, a, b, ra, rb, want):
+    assert _one(spark, values.values_agree(F.col("a"), F.col("b"), F.col("ra"), F.col("rb")), a=a, b=b, ra=ra, rb=rb) is want
 
 
 @pytest.mark.parametrize("raw, want", [

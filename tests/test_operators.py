@@ -38,10 +38,39 @@ def test_adjudication(spark):
     c = reconcile.classify(spark.createDataFrame([(1, 2), (1, 3), (4, 5), (1, 4), (2, 6)], "fact_a bigint, fact_b bigint"), f)
     ans = spark.createDataFrame([(1, 2, "contradicts", None, None), (1, 3, "reconciled_by_context", "scale", "100"), (4, 5, "reconciled_by_context", "basis", None)],
                                 "fact_a bigint, fact_b bigint, verdict string, kind string, factor string")
-    got = {(r.fact_a, r.fact_b): (r.model_verdict, r.final_verdict) for r in reconcile.adjudicate(c, ans).collect()}
+    rows = {(r.fact_a, r.fact_b): r for r in reconcile.adjudicate(c, f, ans).collect()}
+    got = {(r.fact_a, r.fact_b): (r.model_verdict, r.final_verdict) for r in rows.values()}
     # (2, 6) has no answer and ends the adjudication of the pairs ranked after it
     assert got == {(1, 2): ("contradicts", "contradicts"), (1, 3): ("reconciled_by_context", "reconciled_by_context"), (2, 6): (None, "contradicts"),
                    (4, 5): (None, "insufficient_context"), (1, 4): (None, "corroborates")}
+    assert rows[2, 6].explanation == f"{reconcile.RULE_CONFLICT} (NoAnswer)" and rows[4, 5].explanation == reconcile.NO_REVIEW and rows[1, 4].explanation is None
+    assert rows[4, 5].qualifier_diff == '{"basis":{"a":"a","b":"b"}}' and rows[1, 3].claimed_transform == '{"kind":"scale","factor":"100"}' and rows[1, 3].verified
+
+
+def test_answers_are_checked(spark):
+    """Unproved transforms, needless agreement and conflicts between unlike facts are held for review; the budget ends the asking."""
+    f = spark.createDataFrame([fact(1, 1.0), fact(2, 9.0), fact(3, 9.0, start="2022-04-01", q={"basis": "a"}), fact(4, 7.0, q={"basis": "b"}), fact(5, 3.0), fact(6, 5.0)], FACT)
+    c = reconcile.classify(spark.createDataFrame([(1, 2), (3, 4), (1, 5), (1, 6), (2, 5)], "fact_a bigint, fact_b bigint"), f)
+    ans = spark.createDataFrame([(1, 2, "reconciled_by_context", "scale", "2", "x", None), (3, 4, "contradicts", None, None, "y", 0.5), (1, 5, "corroborates", None, None, None, 0.25), (1, 6, "who knows", None, None, "z", 0.75), (2, 5, "reconciled_by_context", None, None, "n", 0.1)],
+                                "fact_a bigint, fact_b bigint, verdict string, kind string, factor string, explanation string, confidence double")
+    r = {(x.fact_a, x.fact_b): x for x in reconcile.adjudicate(c, f, ans).collect()}
+    assert {k: (x.model_verdict, x.final_verdict, x.agreed, x.verified) for k, x in r.items()} == {
+        (1, 2): ("reconciled_by_context", "needs_review", False, False), (3, 4): ("contradicts", "needs_review", False, None), (1, 5): ("corroborates", "needs_review", False, None),
+        (1, 6): ("unrelated", "unrelated", True, None), (2, 5): ("reconciled_by_context", "needs_review", False, False)}
+    assert r[1, 2].explanation == "x [unverified: values do not reconcile under a factor of 2: 1 vs 9]" and r[2, 5].explanation == "n [unverified: no transform claimed; nothing to verify]"
+    assert r[3, 4].explanation == "y [held: basis, period differs, so the two may not be comparable]" and r[1, 2].confidence == 0.0 and r[1, 6].confidence == 0.75
+    short = {(x.fact_a, x.fact_b): x.model_verdict for x in reconcile.adjudicate(c, f, ans, 2).collect()}
+    assert sum(v is not None for v in short.values()) == 2 and short[1, 2] is not None
+
+
+def test_relations_are_built_and_built_again_alike(spark):
+    r = random.Random(9)
+    f = spark.createDataFrame([fact(i, r.choice([1.0, 1.0, 2.0]), q={"basis": r.choice("ab")}, metric=r.choice(["m", "n"]), doc=i % 3) for i in range(30)], FACT)
+    ans = spark.createDataFrame([(0, 1, "contradicts")], "fact_a bigint, fact_b bigint, verdict string")
+    once = reconcile.build_relations(f, ans, 3)
+    rows = sorted(map(tuple, once.collect()), key=str)
+    assert rows and sorted(map(tuple, sinks.upsert(once, reconcile.build_relations(f, ans, 3), ["fact_a", "fact_b"]).collect()), key=str) == rows
+    assert all(x.final_verdict for x in once.collect()) and reconcile.build_relations(f.where("id = 1"), ans).count() == 0
 
 
 def _greedy(scored, cap):
