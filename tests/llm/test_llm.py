@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.graphs import components
 from ledgerloom.llm import bitmaps, bktree, bpe, canonical, copies, groups, mixing, pieces, plans, site_lines, stuffing
 from ledgerloom.llm.keys import content_tokens, hash128, line_key
 
@@ -177,7 +178,7 @@ def test_groups(spark):
 def test_core_and_hot_groups(spark, monkeypatch):
     r = random.Random(8)
     edges = [(r.randrange(900), r.randrange(900)) for _ in range(700)] + [(i, i + 1) for i in range(2000, 2600)] + [(5000, 5001 + i) for i in range(300)]
-    v, root = groups.components(*(np.array(x) for x in zip(*edges)))
+    v, root = components(*(np.array(x) for x in zip(*edges)))
     want = _components(edges)
     assert {i: g for i, g in zip(v.tolist(), root.tolist())} == {i: want.get(i, i) for i in v.tolist()}
     monkeypatch.setattr(groups, "HOT_GROUP", 100)
