@@ -96,7 +96,30 @@ def block_density(blocks: DataFrame) -> DataFrame:
     return blocks.where("text is not null").select("id", n.alias("numbers"), u.alias("units"), p.alias("periods"), F.round(text.density(F.col("text")), 6).alias("density"))
 
 
-@query()
+_LEN = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+# the fold as a recursion over the blocks of all documents in step
+_WINDOWS = f"""
+with recursive b as (
+  select doc_id, text, row_number() over (partition by doc_id order by page_no, block_index, id) as i, count(*) over (partition by doc_id) as last
+  from blocks where doc_id is not null and text is not null and not coalesce(is_boilerplate, false)
+),
+r as (
+  select doc_id, cast(0 as bigint) as i, cast([] as varchar[]) as open, cast(null as varchar[]) as done, cast(-1 as bigint) as n, any_value(last) as last from b group by 1
+  union all
+  select doc_id, i, case when full_ then list_append(kept, text) else list_append(open, text) end, case when full_ then open end, n + cast(full_ as int), last
+  from (
+    select *, case when full_ then list_filter(open, lambda t, k: {_LEN.format("open[k + 1:]")} < 1200) end as kept
+    from (select r.doc_id, b.i, b.text, r.open, r.n, r.last, len(r.open) > 0 and {_LEN.format("r.open")} + length(b.text) > 12000 as full_ from r join b on b.doc_id = r.doc_id and b.i = r.i + 1)
+  )
+),
+w as (select doc_id, n as window_index, done as parts from r where done is not null union all select doc_id, n + 1, open from r where i = last),
+t as (select doc_id, window_index, len(parts) as n_blocks, array_to_string(parts, chr(10)) as text from w)
+select doc_id, cast(window_index as int) as window_index, cast(n_blocks as int) as n_blocks, cast(length(text) as int) as n_chars,
+  round(({_N} + 2 * {_U} + 2 * {_P}) / greatest(length(text) / 200.0, 1.0), 6) as density from t
+"""
+
+
+@query(_WINDOWS)
 def text_windows(blocks: DataFrame) -> DataFrame:
     return ingest.build_windows(blocks).select("doc_id", "window_index", F.size("block_ids").alias("n_blocks"), F.length("text").alias("n_chars"), F.round("density", 6).alias("density"))
 
