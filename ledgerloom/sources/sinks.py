@@ -35,16 +35,15 @@ def prune(relations: DataFrame, candidates: DataFrame) -> DataFrame:
     return relations.join(candidates.select("fact_a", "fact_b").distinct(), ["fact_a", "fact_b"], "left_semi")
 
 
-def cascade_delete(doc_ids: DataFrame, facts: DataFrame, evidence: DataFrame, relations: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
-    """All tables without the rows of some documents (SNK-5)."""
-    gone = facts.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("id")
-    anti = lambda df, c: df.join(gone.withColumnRenamed("id", c), c, "left_anti").select(*df.columns)
-    return {
-        "facts": facts.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*facts.columns),
-        "evidence": anti(evidence, "fact_id"),
-        "relations": anti(anti(relations, "fact_a"), "fact_b"),
-        "blocks": blocks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*blocks.columns),
-    }
+def cascade_delete(doc_ids: DataFrame, facts: DataFrame, evidence: DataFrame, relations: DataFrame, blocks: DataFrame,
+                   gaps: DataFrame | None = None, rejected: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables without the rows of some documents (SNK-5); gaps and rejected where they are given."""
+    docs = doc_ids.select("doc_id").distinct()
+    gone = facts.join(docs, "doc_id", "left_semi").select("id")
+    of_fact = lambda df, c: df.join(gone.withColumnRenamed("id", c), c, "left_anti").select(*df.columns)
+    of_doc = lambda df: df.join(docs, "doc_id", "left_anti").select(*df.columns)
+    out = {"facts": of_doc(facts), "evidence": of_fact(evidence, "fact_id"), "relations": of_fact(of_fact(relations, "fact_a"), "fact_b"), "blocks": of_doc(blocks)}
+    return out | {k: of_doc(v) for k, v in (("gaps", gaps), ("rejected", rejected)) if v is not None}
 
 
 def with_missing_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:

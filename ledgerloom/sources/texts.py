@@ -69,6 +69,15 @@ def parse_files(files: DataFrame, parser: Callable[[bytes], list[tuple[int, int,
     return files.select("path", "content").mapInPandas(run, "path string, page_no int, block_index int, text string")
 
 
-def load_if_empty(target: DataFrame, shipped: DataFrame, key: list[str]) -> DataFrame:
-    """The target, or the shipped rows (last per key) where it is empty (SRC-8)."""
-    return shipped.dropDuplicates(key) if target.isEmpty() else target
+def load_if_empty(target: DataFrame, shipped: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """The target, or where it is empty the shipped rows, of each key the last by an order (SRC-8).
+
+    Without an order rows of one key must be alike in what matters; the
+    greatest row stays, so the result does not depend on where rows lie.
+    """
+    if not target.isEmpty():
+        return target
+    rest = [c for c in shipped.columns if c not in key]
+    by = F.struct(order, *rest) if order else F.struct(*rest)
+    last = shipped.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("r"))
+    return last.select(*[F.col(c) if c in key else F.col(f"r.{c}").alias(c) for c in shipped.columns])
