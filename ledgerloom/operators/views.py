@@ -42,12 +42,12 @@ def facts_search(facts: DataFrame, documents: DataFrame, evidence: DataFrame, en
 
 
 def fact_detail(facts: DataFrame, documents: DataFrame, evidence: DataFrame, relations: DataFrame) -> DataFrame:
-    """Each fact with its filename, evidence and the ids of its relations (PRJ-4)."""
-    r = relations.select(F.explode(F.array_distinct(F.array("fact_a", "fact_b"))).alias("id"), F.col("id").alias("rel_id")).where("id is not null")
-    r = r.groupBy("id").agg(F.array_sort(F.collect_set("rel_id")).alias("relation_ids"))
-    f = facts.join(documents.select("doc_id", "filename"), "doc_id").join(one_quote(evidence).withColumnRenamed("fact_id", "id"), "id", "left").join(r, "id", "left")
-    return f.select("id", "subject", "metric", "filename", "evidence_id", "quote", F.coalesce(F.size("relation_ids"), F.lit(0)).alias("n_relations"),
-                    F.array_join(F.transform("relation_ids", lambda x: x.cast("string")), ",").alias("relation_ids"))
+    """Each fact whole, with its filename, ``evidence`` (struct, null without) and ``relations`` (array of structs by id) (PRJ-4)."""
+    e = evidence.where("fact_id is not null").groupBy(F.col("fact_id").alias("id")).agg(F.min_by(F.struct(*evidence.columns), "id").alias("evidence"))
+    sides = relations.select(F.explode(F.array_distinct(F.array("fact_a", "fact_b"))).alias("fact"), F.struct(*relations.columns).alias("r")).where("fact is not null")
+    r = sides.groupBy(F.col("fact").alias("id")).agg(F.array_sort(F.collect_set("r"), lambda x, y: F.when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)).alias("relations"))
+    f = facts.join(documents.select("doc_id", "filename"), "doc_id").join(e, "id", "left").join(r, "id", "left")
+    return f.withColumn("relations", F.coalesce("relations", F.expr("cast(array() as " + r.schema["relations"].dataType.simpleString() + ")")))
 
 
 def relations_listing(relations: DataFrame, facts: DataFrame, documents: DataFrame, verdict: str | None = None) -> DataFrame:
@@ -64,11 +64,11 @@ def relations_listing(relations: DataFrame, facts: DataFrame, documents: DataFra
     return r.join(of("a"), "fact_a").join(of("b"), "fact_b")
 
 
-def stats(documents: DataFrame, facts: DataFrame, evidence: DataFrame, relations: DataFrame) -> DataFrame:
+def stats(documents: DataFrame, facts: DataFrame, evidence: DataFrame, relations: DataFrame, gaps: DataFrame, rejected: DataFrame) -> DataFrame:
     """One row of counts (AGG-1): one pass a table, one-row frames side by side."""
-    parts = [documents.agg(F.count("*").alias("documents")),
-             facts.agg(F.count("*").alias("facts"), F.count_if(F.col("period_start").isNotNull()).alias("with_period")),
-             evidence.agg(F.count_if(F.col("page_no").isNotNull()).alias("grounded_facts")), relations.agg(F.count("*").alias("relations"))]
+    n = lambda df, c: df.agg(F.count("*").alias(c))
+    parts = [n(documents, "documents"), facts.agg(F.count("*").alias("facts"), F.count_if(F.col("period_start").isNotNull()).alias("with_period")),
+             evidence.agg(F.count_if(F.col("page_no").isNotNull()).alias("grounded_facts")), n(relations, "relations"), n(gaps, "gaps"), n(rejected, "rejected")]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
@@ -76,15 +76,33 @@ def stats(documents: DataFrame, facts: DataFrame, evidence: DataFrame, relations
 
 
 def verdict_counts(relations: DataFrame) -> DataFrame:
-    return relations.groupBy(F.coalesce("final_verdict", F.lit("unclassified")).alias("verdict")).agg(F.count("*").alias("n"))
+    """Relations by verdict, most frequent first (AGG-2, AGG-3, PRJ-7)."""
+    return relations.groupBy(F.coalesce("final_verdict", F.lit("unclassified")).alias("verdict")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "verdict")
+
+
+def case_report(relations: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row of counts below the chosen cases (REL-8): ungrounded and unread proposals, disputed and undecided pairs."""
+    low = F.lower("reason")
+    r = rejected.agg(F.count_if(low.contains("not found")).alias("ungrounded"), F.count_if(low.contains("no cached")).alias("unread"))
+    return r.crossJoin(relations.agg(F.count_if(F.col("final_verdict") == "needs_review").alias("disputed"), F.count_if(F.col("final_verdict") == "insufficient_context").alias("undecided")))  # one row each
+
+
+DIFF_TYPE = "map<string,struct<a:string,b:string>>"
+TRANSFORM_TYPE = "struct<kind:string,factor:string>"
+
+
+def decoded(relations: DataFrame) -> DataFrame:
+    """Relations with qualifier_diff as a map and claimed_transform as a struct (PRJ-3); an empty or broken text gives an empty map and null."""
+    out = relations.withColumn("qualifier_diff", F.coalesce(F.from_json("qualifier_diff", DIFF_TYPE), F.from_json(F.lit("{}"), DIFF_TYPE)))
+    return out.withColumn("claimed_transform", F.from_json("claimed_transform", TRANSFORM_TYPE)) if "claimed_transform" in relations.columns else out
 
 
 def relation_detail(relations: DataFrame, facts: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Relations with both facts' names, files and quotes (PRJ-5, JOIN-3)."""
-    side = (facts.select("id", "doc_id", "subject", "metric").join(documents.select("doc_id", "filename"), "doc_id")
-            .join(one_quote(evidence).withColumnRenamed("fact_id", "id"), "id", "left"))
-    of = lambda p: side.select(F.col("id").alias(f"fact_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in ("subject", "metric", "filename", "quote", "page_no")])
-    return relations.select("id", "fact_a", "fact_b", "final_verdict", "reason_code").join(of("a"), "fact_a").join(of("b"), "fact_b")
+    """Decoded relations with both facts whole, as ``a`` and ``b`` with filename and evidence (PRJ-5, JOIN-3)."""
+    e = evidence.where("fact_id is not null").groupBy(F.col("fact_id").alias("id")).agg(F.min_by(F.struct(*evidence.columns), "id").alias("evidence"))
+    side = facts.join(documents.select("doc_id", "filename"), "doc_id").join(e, "id", "left")
+    of = lambda p: side.select(F.col("id").alias(f"fact_{p}"), F.struct(*side.columns).alias(p))
+    return decoded(relations).join(of("a"), "fact_a").join(of("b"), "fact_b")
 
 
 def rejected_kinds(rejected: DataFrame) -> DataFrame:
@@ -136,3 +154,8 @@ def latest(df: DataFrame, order: str, n: int = 5) -> DataFrame:
 def rejected_page(rejected: DataFrame, documents: DataFrame, n: int = 200) -> DataFrame:
     """First n rejected proposals whose quote was not found (JOIN-4, FLT-6, SRT-4)."""
     return rejected.where(F.lower("reason").contains("not found")).orderBy("evidence_id").limit(n).join(documents.select("doc_id", "filename"), "doc_id")
+
+
+def gaps_page(gaps: DataFrame, documents: DataFrame) -> DataFrame:
+    """Gaps with their filename in order of documents and pages (JOIN-4, SRT-2)."""
+    return gaps.join(documents.select("doc_id", "filename"), "doc_id").orderBy("doc_id", "page_no")

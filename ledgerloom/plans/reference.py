@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import periods, text, values
-from ledgerloom.operators import canon, grounding, ingest, pairing, reconcile, views
+from ledgerloom.operators import canon, grounding, ingest, ingest_run, pairing, reconcile, views
 from ledgerloom.session import Scratch, table
 from ledgerloom.sources import sinks, texts
 from ledgerloom.streaming import arrivals
@@ -339,7 +339,63 @@ def pairs_capped(facts: DataFrame) -> DataFrame:
     return pairing.capped_by_metric(facts)
 
 
-@query()
+_TOKENS = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(metric, '')), '[a-z0-9]+'), lambda w: length(w) > 2 and not list_contains([{_STOP}], w))))"
+# score 1: a recursion over the facts of all groups of names in step; lower scores: one over the pairs of all components in step
+_CANDIDATES = f"""
+with recursive n as (
+  select id, {_TOKENS} as toks, nullif(metric_id, '') as mid, metric_id as raw, nullif(entity_id, '') as ent, nullif(nullif(canon_unit, ''), 'UNKNOWN') as unit from facts
+),
+nd as (select *, array_to_string(toks, ' ') as key, coalesce('m:' || mid, 't:' || array_to_string(toks, ' ')) as node from n where mid is not null or len(toks) > 0),
+lk as (select distinct 'm:' || mid as a, 't:' || key as b from nd where mid is not null and len(toks) > 0),
+ed as (select a, b from lk union select b, a from lk),
+cc as (select a as v, a as g from ed union select ed.b, cc.g from cc join ed on ed.a = cc.v),
+gr as (select v, min(g) as g from cc group by 1),
+f as (
+  select nd.*, coalesce(gr.g, node) as g, row_number() over (partition by coalesce(gr.g, node) order by id) as i, count(*) over (partition by coalesce(gr.g, node)) as last
+  from nd left join gr on gr.v = nd.node
+),
+r as (
+  select g, cast(0 as bigint) as i, any_value(last) as last, cast([] as struct(id bigint, unit varchar, mid varchar, raw varchar, key varchar, ent varchar, room int)[]) as op, cast(null as bigint) as id, cast([] as bigint[]) as hit
+  from f group by 1
+  union all
+  select g, i, last, list_filter(list_concat(
+      list_transform(op, lambda o: struct_pack(id := o.id, unit := o.unit, mid := o.mid, raw := o.raw, key := o.key, ent := o.ent, room := o.room - case when list_contains(hit, o.id) then 1 else 0 end)),
+      [struct_pack(id := id, unit := unit, mid := mid, raw := raw, key := key, ent := ent, room := cast(6 - len(hit) as int))]), lambda o: o.room > 0), id, hit
+  from (
+    select r.g, f.i, r.last, r.op, f.id, f.unit, f.mid, f.raw, f.key, f.ent, list_transform(list_filter(r.op, lambda o:
+        (f.unit is null or o.unit is null or o.unit = f.unit) and (coalesce(f.mid = o.mid, false) or (f.key <> '' and f.key = o.key
+         and not (coalesce(f.ent <> o.ent, false) and f.raw is distinct from o.raw)))), lambda o: o.id)[1:6] as hit
+    from r join f on f.g = r.g and f.i = r.i + 1
+  )
+),
+lf as (select f.*, o.room from (select unnest(op) as o from r where i = last) join f on f.id = o.id where f.key <> ''),
+ks as (select distinct key, toks from lf),
+sm as (
+  select a.key as ka, b.key as kb, len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))) as score
+  from ks a join ks b on a.key < b.key where len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))) >= 0.6
+),
+se as (select ka as a, kb as b from sm union select kb, ka from sm),
+sc as (select a as v, a as g from se union select se.b, sc.g from sc join se on se.a = sc.v),
+sg as (select v, min(g) as g from sc group by 1),
+e as (
+  select sg.g, sm.score, least(x.id, y.id) as fact_a, greatest(x.id, y.id) as fact_b, case when x.id < y.id then x.room else y.room end as room_a, case when x.id < y.id then y.room else x.room end as room_b
+  from sm join lf x on x.key = sm.ka join lf y on y.key = sm.kb join sg on sg.v = sm.ka
+  where (x.unit is null or y.unit is null or x.unit = y.unit) and not coalesce(x.mid = y.mid, false) and not (coalesce(x.ent <> y.ent, false) and x.raw is distinct from y.raw)
+),
+q as (select *, row_number() over (partition by g order by score desc, fact_a, fact_b) as k from e),
+t as (
+  select g, cast(0 as bigint) as k, cast([] as bigint[]) as used, cast(null as bigint) as a, cast(null as bigint) as b, cast(null as double) as score, false as ok from q group by 1
+  union all
+  select g, k, case when ok then list_concat(used, [a, b]) else used end, a, b, score, ok from (
+    select t.g, q.k, t.used, q.fact_a as a, q.fact_b as b, q.score, len(list_filter(t.used, lambda u: u = q.fact_a)) < q.room_a and len(list_filter(t.used, lambda u: u = q.fact_b)) < q.room_b as ok
+    from t join q on q.g = t.g and q.k = t.k + 1)
+)
+select unnest(hit) as fact_a, id as fact_b, cast(1 as double) as score from r where len(hit) > 0
+union all select a, b, score from t where ok
+"""
+
+
+@query(_CANDIDATES)
 def candidate_pairs(facts: DataFrame) -> DataFrame:
     return pairing.candidate_pairs(facts)
 
@@ -477,7 +533,9 @@ def facts_search(facts: DataFrame, documents: DataFrame, evidence: DataFrame) ->
        f"left join {_ONE} e on e.fact_id = f.id left join (select fact, count(distinct id) as n, string_agg(distinct id, ',' order by id) as ids from "
        "(select fact_a as fact, id from relations union select fact_b, id from relations) where fact is not null group by 1) r on r.fact = f.id")
 def fact_detail(facts: DataFrame, documents: DataFrame, evidence: DataFrame, relations: DataFrame) -> DataFrame:
-    return views.fact_detail(facts, documents, evidence, relations)
+    d = views.fact_detail(facts, documents, evidence, relations)
+    ids = F.array_join(F.transform("relations", lambda x: x["id"].cast("string")), ",")
+    return d.select("id", "subject", "metric", "filename", F.col("evidence.id").alias("evidence_id"), F.col("evidence.quote").alias("quote"), F.size("relations").alias("n_relations"), F.nullif(ids, F.lit("")).alias("relation_ids"))
 
 
 _SIDES = ", ".join(f"{p}.{c} as {p}_{n}" for p in "ab" for c, n in (("subject", "subject"), ("metric", "metric"), ("value_raw", "value"), ("unit_raw", "unit"), ("period_raw", "period")))
@@ -489,17 +547,32 @@ def relations_listing(relations: DataFrame, facts: DataFrame, documents: DataFra
     return views.relations_listing(relations, facts, documents, "contradicts")
 
 
-@query("select r.id, r.fact_a, r.fact_b, r.final_verdict, r.reason_code, a.subject as a_subject, a.metric as a_metric, da.filename as a_filename, nullif(ea.quote, chr(0)) as a_quote, "
-       "b.subject as b_subject, b.metric as b_metric, db.filename as b_filename, nullif(eb.quote, chr(0)) as b_quote from relations r join facts a on a.id = r.fact_a join facts b on b.id = r.fact_b "
+@query("select r.id, r.fact_a, r.fact_b, r.final_verdict, r.reason_code, cast(coalesce(len(json_keys(r.qualifier_diff)), 0) as int) as n_differs, a.value_raw as a_value_raw, a.canon_unit as a_canon_unit, b.value_raw as b_value_raw, "
+       "b.canon_unit as b_canon_unit, a.subject as a_subject, a.metric as a_metric, da.filename as a_filename, nullif(ea.quote, chr(0)) as a_quote, b.subject as b_subject, b.metric as b_metric, db.filename as b_filename, nullif(eb.quote, chr(0)) as b_quote from relations r join facts a on a.id = r.fact_a join facts b on b.id = r.fact_b "
        f"join documents da on da.doc_id = a.doc_id join documents db on db.doc_id = b.doc_id left join {_ONE} ea on ea.fact_id = a.id left join {_ONE} eb on eb.fact_id = b.id")
 def relation_detail(relations: DataFrame, facts: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:
-    return views.relation_detail(relations, facts, documents, evidence).drop("a_page_no", "b_page_no")
+    d = views.relation_detail(relations, facts, documents, evidence)
+    sides = [F.col(f"{p}.{c}").alias(f"{p}_{c.split('.')[-1]}") for p in "ab" for c in ("subject", "metric", "filename", "evidence.quote", "value_raw", "canon_unit")]
+    return d.select("id", "fact_a", "fact_b", "final_verdict", "reason_code", F.size("qualifier_diff").alias("n_differs"), *sides)
+
+
+@query(f"select (select count(*) from documents) as documents, (select count(*) from facts) as facts, (select count(period_start) from facts) as with_period, "
+       f"(select count(page_no) from evidence) as grounded_facts, (select count(*) from relations) as relations, (select count(*) from ({_GAPS})) as gaps, (select count(*) from ({_REJECTED})) as rejected")
+def stats(documents: DataFrame, facts: DataFrame, evidence: DataFrame, relations: DataFrame, blocks: DataFrame) -> DataFrame:
+    rej = grounding.rejected(grounding.quoted_texts(evidence, blocks), facts)
+    return views.stats(documents, facts, evidence, relations, ingest.page_gaps(documents, blocks), rej)
 
 
-@query("select (select count(*) from documents) as documents, (select count(*) from facts) as facts, (select count(period_start) from facts) as with_period, "
-       "(select count(page_no) from evidence) as grounded_facts, (select count(*) from relations) as relations")
-def stats(documents: DataFrame, facts: DataFrame, evidence: DataFrame, relations: DataFrame) -> DataFrame:
-    return views.stats(documents, facts, evidence, relations)
+@query(f"select (select count(*) from ({_REJECTED}) where reason like '%not found%') as ungrounded, (select count(*) from ({_REJECTED}) where reason like '%no cached%') as unread, "
+       "(select count(*) from relations where final_verdict = 'needs_review') as disputed, (select count(*) from relations where final_verdict = 'insufficient_context') as undecided")
+def case_report(evidence: DataFrame, blocks: DataFrame, facts: DataFrame, relations: DataFrame) -> DataFrame:
+    return views.case_report(relations, grounding.rejected(grounding.quoted_texts(evidence, blocks), facts))
+
+
+@query("select id, k as name, json_extract_string(qualifier_diff, '$.\"' || k || '\".a') as a, json_extract_string(qualifier_diff, '$.\"' || k || '\".b') as b from "
+       "(select id, qualifier_diff, unnest(json_keys(qualifier_diff)) as k from relations where qualifier_diff is not null)")
+def relation_differences(relations: DataFrame) -> DataFrame:
+    return views.decoded(relations).select("id", F.explode("qualifier_diff").alias("name", "d")).select("id", "name", "d.a", "d.b")
 
 
 @query("select coalesce(final_verdict, 'unclassified') as verdict, count(*) as n from relations group by 1")
@@ -514,7 +587,7 @@ def rejected_kinds(evidence: DataFrame, blocks: DataFrame, facts: DataFrame) ->
 
 @query(f"select g.doc_id, g.page_no, g.reason, d.filename from ({_GAPS}) g join documents d on d.doc_id = g.doc_id")
 def gaps_page(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    return ingest.page_gaps(documents, blocks).join(documents.select("doc_id", "filename"), "doc_id")
+    return views.gaps_page(ingest.page_gaps(documents, blocks), documents)
 
 
 @query("with e as (select e.id as evidence_id, e.fact_id, f.doc_id, e.page_no, e.block_ids, " + _COLLAPSE.format("quote") + " as needle from evidence e join facts f on f.id = e.fact_id), "
@@ -608,3 +681,99 @@ def latest_relations(relations: DataFrame) -> DataFrame:
 @query(f"select f.id, f.subject, d.filename, {_QUOTE} as quote from facts f join documents d on d.doc_id = f.doc_id left join {_ONE} e on e.fact_id = f.id order by f.id limit 200 offset 200")
 def facts_page(facts: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:
     return views.facts_search(facts, documents, evidence, offset=200).select("id", "subject", "filename", "quote")
+
+
+@query(f"select f.id, f.subject, f.metric, d.filename, {_QUOTE} as quote from facts f join documents d on d.doc_id = f.doc_id left join {_ONE} e on e.fact_id = f.id "
+       "where f.metric_id = 'operating_margin' and f.period_start = '2023-04-01'")
+def facts_filtered(facts: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:
+    return views.facts_search(facts, documents, evidence, metric="operating_margin", period="2023-04-01", limit=None).select("id", "subject", "metric", "filename", "quote")
+
+
+@query("select doc_id, filename, lang from documents where doc_id = (select min(doc_id) from documents where filename is not null)")
+def document_lookup(documents: DataFrame) -> DataFrame:
+    one = documents.where("filename is not null").agg(F.min("doc_id")).first()[0]
+    return views.by_id(documents, "doc_id", one).select("doc_id", "filename", "lang")
+
+
+@query(f"select evidence_id, x.doc_id, reason, d.filename from (select r.evidence_id, f.doc_id, r.reason from ({_REJECTED}) r join facts f on f.id = r.fact_id where r.reason like '%not found%' order by r.evidence_id limit 200) x "
+       "join documents d on d.doc_id = x.doc_id")
+def rejected_page(evidence: DataFrame, blocks: DataFrame, facts: DataFrame, documents: DataFrame) -> DataFrame:
+    rej = grounding.rejected(grounding.quoted_texts(evidence, blocks), facts).join(facts.select(F.col("id").alias("fact_id"), "doc_id"), "fact_id")
+    return views.rejected_page(rej, documents).select("evidence_id", "doc_id", "reason", "filename")
+
+
+@query("select doc_id, coalesce(starts_with(text, '%PDF'), false) as is_pdf from documents")
+def magic_bytes(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", texts.is_pdf(F.encode("text", "UTF-8")).alias("is_pdf"))
+
+
+@query("select kind, raw, arg_max(canon_id, canon_id || chr(1) || coalesce(label, '')) as canon_id from canon_terms group by 1, 2")
+def terms_loaded(canon_terms: DataFrame) -> DataFrame:
+    return texts.load_if_empty(canon_terms.where("false"), canon_terms, ["kind", "raw"]).select("kind", "raw", "canon_id")
+
+
+@query()
+def files_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the data folder by name, with size and content hash."""
+    return texts.discover(spark, d, "*.parquet").select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length", "sha256")
+
+
+def _write_cache(windows: DataFrame) -> DataFrame:
+    """Responses with a claim twice, an invented quote and a nameless one; the second window of a document has a broken one and is read in halves."""
+    from ledgerloom.functions.text import cache_key
+
+    def reply(t):
+        fact = lambda subject, metric, quote, confidence: F.struct(subject.alias("subject"), F.lit(metric).alias("metric"), F.length(t).alias("value_raw"), quote.alias("evidence_quote"), F.lit(confidence).alias("confidence"))
+        name, quote = F.substring(t, 1, 20), F.substring(t, 1, 60)
+        return F.to_json(F.struct(F.array(fact(name, "length", quote, 0.5), fact(name, "Length ", quote, 0.9), fact(name, "length", F.lit("no such quote at all"), 0.9), fact(F.lit(""), "length", quote, 0.9)).alias("facts")))
+
+    key = lambda t: cache_key(F.lit("model-b"), F.lit("extract-v1"), t)
+    text = F.col("text")
+    good = windows.where("window_index = 0").select(key(text).alias("key"), reply(text).alias("response"))
+    bad = windows.where("window_index = 1").select(key(text).alias("key"), F.lit("{broken").alias("response"))
+    parts = ingest.halves(windows.where("window_index = 1")).select(key(text).alias("key"), reply(text).alias("response"))
+    return good.unionByName(bad).unionByName(parts).groupBy("key").agg(F.max("response").alias("response"))
+
+
+_READ = """
+h as (
+  select id, doc_id, window_index, density, -1 as half, text, block_ids, block_spans from windows where window_index = 0
+  union all
+  select id, doc_id, window_index, density, half, substring(text, sp[1].s + 1, sp[-1].e - sp[1].s), ids, list_transform(sp, lambda x: struct_pack(s := x.s - sp[1].s, e := x.e - sp[1].s)) from (
+    select *, 0 as half, block_spans[1:len(block_spans) // 2] as sp, block_ids[1:len(block_spans) // 2] as ids from windows where window_index = 1 and len(block_spans) >= 2
+    union all
+    select *, 1, block_spans[len(block_spans) // 2 + 1:], block_ids[len(block_spans) // 2 + 1:] from windows where window_index = 1 and len(block_spans) >= 2)
+),
+c as (select *, substring(text, 1, 20) as subject, substring(text, 1, 60) as quote, cast(length(text) as varchar) as value_raw from h),
+d as (
+  select *, row_number() over (partition by doc_id, lower(trim(subject)), value_raw, lower(""" + _COLLAPSE.format("quote") + """) order by density desc, window_index, half) as r from c
+),
+f as (select *, (doc_id << 28) + row_number() over (partition by doc_id order by density desc, window_index, half) - 1 as fact_id from d where r = 1)
+"""
+
+
+@query(f"with {_READ} select fact_id as id, doc_id, subject, 'Length ' as metric, value_raw, cast(0.9 as double) as confidence from f")
+def facts_written(windows: DataFrame, blocks: DataFrame, canon_terms: DataFrame) -> DataFrame:
+    out = ingest_run.read_windows(windows, blocks, _write_cache(windows), ["model-a", "model-b"], canon_terms)
+    return out["facts"].select("id", "doc_id", "subject", "metric", "value_raw", "confidence")
+
+
+@query(f"""with {_READ},
+e as (select fact_id, quote, list_transform(list_filter(range(1, len(coalesce(block_spans, [])) + 1), lambda i: block_spans[i].s < length(quote) and block_spans[i].e > 0), lambda i: block_ids[i]) as ids from f),
+j as (select e.fact_id, b.* from (select fact_id, unnest(ids) as bid from e) e join blocks b on b.id = e.bid),
+p as (select fact_id, arg_min(page_no, id) as page_no from j group by 1),
+x as (select j.fact_id, p.page_no, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from j join p on p.fact_id = j.fact_id and p.page_no = j.page_no group by 1, 2)
+select e.fact_id, quote, x.page_no, 0 as char_start, cast(length(quote) as int) as char_end, array_to_string(ids, ',') as block_ids, x0, y0, x1, y1 from e left join x on x.fact_id = e.fact_id""")
+def evidence_written(windows: DataFrame, blocks: DataFrame, canon_terms: DataFrame) -> DataFrame:
+    out = ingest_run.read_windows(windows, blocks, _write_cache(windows), ["model-a", "model-b"], canon_terms)
+    return out["evidence"].withColumn("block_ids", F.array_join(F.transform("block_ids", lambda x: x.cast("string")), ","))
+
+
+@query(f"""with {_READ}
+select doc_id, reason, count(*) as n from (
+  select doc_id, 'evidence_quote not found in source window' as reason from c union all select doc_id, 'missing subject or metric' from c
+  union all select doc_id, 'no cached response and no API key' from windows where window_index > 1
+  union all select doc_id, 'unusable model output' from windows where window_index = 1 and coalesce(len(block_spans), 0) < 2) group by 1, 2""")
+def rejected_written(windows: DataFrame, blocks: DataFrame, canon_terms: DataFrame) -> DataFrame:
+    out = ingest_run.read_windows(windows, blocks, _write_cache(windows), ["model-a", "model-b"], canon_terms)
+    return out["rejected"].groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
