@@ -29,6 +29,11 @@ def furniture_key(c: Column) -> Column:
     return F.lower(collapse(F.regexp_replace(c, r"\p{Nd}+", "#")))
 
 
+def hash128(*cols: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes: keys of fixed width keep joins and aggregates small and in generated code."""
+    return F.xxhash64(*cols), F.xxhash64(F.lit("key"), *cols)
+
+
 def density_counts(c: Column) -> tuple[Column, Column, Column]:
     low = F.lower(c)
     return tuple(F.regexp_count(low, F.lit(p)) for p in (DENSE_NUMBER, DENSE_UNIT, DENSE_PERIOD))

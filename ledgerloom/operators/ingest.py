@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.text import density, furniture_key
+from ledgerloom.functions.text import density, furniture_key, hash128
+from ledgerloom.session import cut
 
 BOILERPLATE_MIN_PAGES = 4
 GAP_MIN_CHARS = 120
@@ -22,10 +23,13 @@ def flag_boilerplate(blocks: DataFrame, min_pages: int = BOILERPLATE_MIN_PAGES)
 
     Blank and null texts are never furniture.
     """
-    b = blocks.select("id", "doc_id", "page_no", furniture_key(F.col("text")).alias("key"))
-    often = (b.where("key != ''").select("doc_id", "key", "page_no").distinct().groupBy("doc_id", "key")
-             .agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("doc_id", "key", F.lit(True).alias("hit")))
-    return b.join(often, ["doc_id", "key"], "left").select("id", "doc_id", F.coalesce("hit", F.lit(False)).alias("is_boilerplate"))
+    k1, k2 = hash128(F.col("key"))
+    keyed = blocks.select("id", "doc_id", "page_no", F.nullif(furniture_key(F.col("text")), F.lit("")).alias("key"))
+    # the key is made once and leaves as a hash; blank blocks have none
+    b = cut(keyed.select("id", "doc_id", "page_no", F.when(F.col("key").isNotNull(), k1).alias("k1"), F.when(F.col("key").isNotNull(), k2).alias("k2")))
+    often = (b.where("k1 is not null").select("doc_id", "k1", "k2", "page_no").distinct().groupBy("doc_id", "k1", "k2")
+             .agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("doc_id", "k1", "k2", F.lit(True).alias("hit")))
+    return b.join(often, ["doc_id", "k1", "k2"], "left").select("id", "doc_id", F.coalesce("hit", F.lit(False)).alias("is_boilerplate"))
 
 
 def page_gaps(documents: DataFrame, blocks: DataFrame, min_chars: int = GAP_MIN_CHARS) -> DataFrame:

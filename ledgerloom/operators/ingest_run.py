@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.periods import printed_period
+from ledgerloom.functions.periods import with_printed_period
 from ledgerloom.functions.text import collapse, locate, slug
-from ledgerloom.functions.values import canonical_pair
+from ledgerloom.functions.values import with_canonical_pair
 from ledgerloom.operators import grounding, ingest
 from ledgerloom.session import cut
 from ledgerloom.sources.sinks import cascade_delete, insert_or_get
@@ -80,10 +80,9 @@ def fact_rows(read: DataFrame, terms: DataFrame) -> DataFrame:
     best = Window.partitionBy("doc_id", "k1", "k2").orderBy(F.desc("confidence"), *order)
     f = ok.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "k1", "k2")
     f = f.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
-    value, unit = canonical_pair(F.col("value_raw"), F.col("unit_raw"), F.col("evidence_quote"))
-    start, end, kind = printed_period(F.col("period_raw"))
+    f = with_printed_period(with_canonical_pair(f, "value_raw", "unit_raw", "evidence_quote"), "period_raw")
     f = f.select(within(F.col("doc_id"), F.col("n")).alias("id"), "doc_id", "subject", "metric", "value_raw", "unit_raw", "period_raw", "qualifiers", "claim_type", "confidence",
-                 value.alias("canon_value"), unit.alias("canon_unit"), start.alias("period_start"), end.alias("period_end"), kind.alias("period_kind"),
+                 "canon_value", "canon_unit", "period_start", "period_end", "period_kind",
                  "evidence_quote", "at", "block_ids", "block_spans")
     for name, kind_ in (("entity_id", "subject"), ("metric_id", "metric")):
         t = terms.where(F.col("kind") == kind_).groupBy(F.col("raw").alias(kind_)).agg(F.min("canon_id").alias(name))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.values import units_compatible, values_agree
+from ledgerloom.functions.values import units_compatible, with_agreement
 from ledgerloom.operators.pairing import MAX_PAIRS, candidate_pairs
 from ledgerloom.session import cut
 
@@ -78,8 +78,8 @@ def classify(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs with ``differs`` (both sides), ``diff`` (names), ``agree``, ``rule_verdict`` and both facts."""
     a, b = F.col("a"), F.col("b")
     p = pair_rows(pairs, facts).withColumn("differs", differences(a, b)).withColumn("diff", F.transform("differs", lambda x: x["k"]))
-    agree = values_agree(a["canon_value"], b["canon_value"], a["value_raw"], b["value_raw"], TOLERANCE)
-    return p.withColumn("agree", agree).withColumn("rule_verdict", rule_verdict(a, b, F.col("diff"), F.col("agree")))
+    p = with_agreement(p, a["canon_value"], b["canon_value"], a["value_raw"], b["value_raw"], TOLERANCE)
+    return p.withColumn("rule_verdict", rule_verdict(a, b, F.col("diff"), F.col("agree")))
 
 
 # Sentences that explain verdicts of the rules.

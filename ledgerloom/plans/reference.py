@@ -208,8 +208,7 @@ _VALUES = (f"select id, case when unit = 'PERCENT' then n else n * scale end as
 def normalize_values(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     e = evidence.where("fact_id is not null").groupBy("fact_id").agg(F.min("quote").alias("quote"))
     f = facts.select("id", "value_raw", "unit_raw").join(e.withColumnRenamed("fact_id", "id"), "id", "left")
-    v, u = values.canonical_pair(F.col("value_raw"), F.col("unit_raw"), F.col("quote"))
-    return f.select("id", v.alias("canon_value"), u.alias("canon_unit"))
+    return values.with_canonical_pair(f, "value_raw", "unit_raw", "quote").select("id", "canon_value", "canon_unit")
 
 
 def _printed_sql() -> str:
@@ -236,8 +235,7 @@ def _printed_sql() -> str:
 
 @query(_printed_sql())
 def printed_periods(facts: DataFrame) -> DataFrame:
-    a, b, c = periods.printed_period(F.col("period_raw"))
-    return facts.select("id", a.alias("period_start"), b.alias("period_end"), c.alias("period_kind"))
+    return periods.with_printed_period(facts.select("id", "period_raw"), "period_raw").drop("period_raw")
 
 
 def _figures(c: str) -> str:

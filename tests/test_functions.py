@@ -1,10 +1,13 @@
 """Column functions against the written vectors."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, values
-from ledgerloom.functions.periods import printed_period
+from ledgerloom.functions.periods import with_printed_period
 
 
 def _one(spark, expr, **cols):
@@ -25,9 +28,8 @@ def test_parse_number(spark, raw, want):
     ("42", "I", None, (42.0, "COUNT")), ("81,415.38", "I in Million", None, (8.141538e10, "INR")), ("81,415.38", None, "stood at ₹ 81,415.38 million", (81415.38, "INR")),
     ("6.5", "per cent", "₹ 5", (6.5, "PERCENT")), ("740", "Mn shipments", None, (7.4e8, "COUNT")), ("5", "customers", None, (5.0, "INR")), ("1", "lakh crore", None, (1e7, "UNKNOWN"))])
 def test_canonical_pair(spark, value, unit, ctx, want):
-    v, u = values.canonical_pair(F.col("v"), F.col("u"), F.col("c"))
-    r = spark.createDataFrame([(value, unit, ctx)], "v string, u string, c string").select(v.alias("x"), u.alias("y")).first()
-    assert r.y == want[1] and r.x == (want[0] if want[0] is None else pytest.approx(want[0], rel=1e-12))
+    r = values.with_canonical_pair(spark.createDataFrame([(value, unit, ctx)], "v string, u string, c string"), "v", "u", "c").first()
+    assert r.canon_unit == want[1] and r.canon_value == (want[0] if want[0] is None else pytest.approx(want[0], rel=1e-12))
 
 
 @pytest.mark.parametrize("raw, want", [("1.4", 2), ("1,429", 4), ("76", 2), ("758", 3), ("0.9", 1), (None, None), ("n/a", None), ("8,142", 4), ("100", 1)])
@@ -40,7 +42,22 @@ def test_significant_figures(spark, raw, want):
     (2.675, 2.67, "2.675", "2.67", True), (2.675, 2.68, "2.675", "2.68", False), (-2.5, -2.0, "-2.5", "-2", True), (3.5, 4.0, "3.5", "4", True), (0.0, 1.0, "0", "1", False),
     (7.6e8, 7.58e8, "76", "758", True), (0.9, 1.6, "0.9", "1.6", False), (6.5, 6.6, "6.5", "6.6", False)])
 def test_values_agree(spark, a, b, ra, rb, want):
-    assert _one(spark, values.values_agree(F.col("a"), F.col("b"), F.col("ra"), F.col("rb")), a=a, b=b, ra=ra, rb=rb) is want
+    df = spark.createDataFrame([(a, b, ra, rb)], "a double, b double, ra string, rb string")
+    assert values.with_agreement(df, F.col("a"), F.col("b"), F.col("ra"), F.col("rb")).first().agree is want
+
+
+def test_rounding_is_exact(spark):
+    """Against Python's rounding, which is exact on the binary value: random values, printed ties and their neighbours."""
+    r = random.Random(12)
+    rows = [(r.uniform(-1, 1) * 10 ** r.randrange(-6, 14), r.randrange(1, 9)) for _ in range(1500)]
+    for _ in range(1500):  # a decimal tie at the last figure
+        n, e = r.randrange(1, 8), r.randrange(-5, 9)
+        v = float(f"{r.choice('+-')}{r.randrange(10 ** (n - 1), 10 ** n)}5e{e}")
+        rows += [(v, n), (math.nextafter(v, 0), n), (math.nextafter(v, math.inf), n)]
+    df = values.with_rounded(spark.createDataFrame([*rows, (0.0, 3), (None, 2), (1.5, None)], "v double, n int"), F.col("v"), F.col("n"), "r")
+    for x in df.collect():
+        want = None if x.v is None or x.n is None else 0.0 if x.v == 0 else round(x.v, -(math.floor(math.log10(abs(x.v))) - x.n + 1))
+        assert x.r == want or abs(x.r - want) <= 1e-15 * abs(want), (x, want)
 
 
 @pytest.mark.parametrize("raw, want", [
@@ -50,8 +67,8 @@ def test_values_agree(spark, a, b, ra, rb, want):
     ("year ended December 31, 2023", ("2022-12-01", "2023-12-31", "part_year")), ("nine months ended December 31, 2023", (None,) * 3), ("2024-03-31", ("2002-04-01", "2003-03-31", "fiscal_year")),
     ("as on February 30, 2024", (None,) * 3), (None, (None,) * 3)])
 def test_printed_period(spark, raw, want):
-    cols = [c.alias(n) for c, n in zip(printed_period(F.col("a")), "xyz")]
-    assert tuple(spark.createDataFrame([(raw,)], "a string").select(*cols).first()) == want
+    r = with_printed_period(spark.createDataFrame([(raw,)], "a string"), "a").first()
+    assert (r.period_start, r.period_end, r.period_kind) == want
 
 
 def test_locate(spark):
