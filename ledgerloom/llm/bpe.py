@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,15 +30,26 @@ VOCABULARY = "byte_bpe_50k"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces kept per worker before the cache starts afresh (bounds memory).
 CACHE_PIECES = 200_000
-#: Pieces longer than this many bytes are encoded but not kept.
-LONG_PIECE = 64
+
+
+def vocabulary_file(folder: str, vocabulary: str) -> str:
+    """The rank file in its folder, or where an executor has no such folder the copy the driver sent."""
+    path = f"{folder}/{vocabulary}.tiktoken"
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+def send(spark: SparkSession, folder: str, vocabulary: str) -> None:
+    """Send the rank file to the executors; the same file again is no work."""
+    path = f"{folder}/{vocabulary}.tiktoken"
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
 
 
 class Bpe:
     """Vocabulary of one rank file with its pair table."""
 
     def __init__(self, folder: str, vocabulary: str) -> None:
-        with open(f"{folder}/{vocabulary}.tiktoken", "rb") as f:
+        with open(vocabulary_file(folder, vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         codes, ids = [], []
@@ -198,6 +211,7 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOC
                     [batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
                 at += len(part)
 
+    send(documents.sparkSession, folder, vocabulary)
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
@@ -212,6 +226,7 @@ def count_tokens(documents: DataFrame, *keep: str, folder: str = TOKENIZERS, voc
             counts = [n for part in _chunks(batch.column(len(keep)).to_pylist()) for n in bpe.count_batch(part)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
+    send(documents.sparkSession, folder, vocabulary)
     return src.mapInArrow(run, out)
 
 
