@@ -217,6 +217,13 @@ def grouped(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
             return out
 
 
+def _named(facts: DataFrame) -> DataFrame:
+    """Facts with ``words`` of their metric, ``tokens`` (hash of the words, null without any) and ``m`` (hash of the metric id, null without)."""
+    f = facts.select("id", F.col("canon_unit").alias("unit"), "metric_id", "entity_id", F.array_sort(metric_tokens(F.coalesce("metric", F.lit("")))).alias("words"))
+    f = f.select("*", F.when(F.size("words") > 0, F.xxhash64(F.array_join("words", " "))).alias("tokens"), F.when(F.coalesce("metric_id", F.lit("")) != "", F.xxhash64(F.lit("metric"), "metric_id")).alias("m"))
+    return f.where("tokens is not null or m is not null")
+
+
 def candidate_pairs(facts: DataFrame, cap: int = MAX_PAIRS, min_jaccard: float = MIN_JACCARD) -> DataFrame:
     """``fact_a, fact_b, score`` of the facts worth comparing: both channels, the full predicate, one joint cap.
 
@@ -231,9 +238,7 @@ def candidate_pairs(facts: DataFrame, cap: int = MAX_PAIRS, min_jaccard: float =
     and of facts alike in name and unit no more than ``cap`` have; their lower
     pairs are listed and taken in order, streamed by component.
     """
-    f = facts.select("id", F.col("canon_unit").alias("unit"), "metric_id", "entity_id", F.array_sort(metric_tokens(F.coalesce("metric", F.lit("")))).alias("words"))
-    f = f.select("*", F.when(F.size("words") > 0, F.xxhash64(F.array_join("words", " "))).alias("tokens"), F.when(F.coalesce("metric_id", F.lit("")) != "", F.xxhash64(F.lit("metric"), "metric_id")).alias("m"))
-    f = f.where("tokens is not null or m is not null")
+    f = _named(facts)
     # names that score 1 with each other: of one metric, or of the same words
     linked = f.where("tokens is not null and m is not null").select(F.col("tokens").alias("a"), F.col("m").alias("b"))
     group = cut(grouped(linked))
@@ -278,7 +283,16 @@ def _taken(edges: DataFrame) -> DataFrame:
     return s.mapInPandas(run, "fact_a bigint, fact_b bigint, score double")
 
 
-def affected(facts: DataFrame, new_facts: DataFrame) -> DataFrame:
-    """Facts that can form pairs with new ones: those of the metrics that new facts touch (STR-3)."""
-    touched = new_facts.where("metric_id is not null and metric_id != ''").select("metric_id").distinct()
-    return facts.join(touched, "metric_id", "left_semi")
+def affected(facts: DataFrame, new_facts: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
+    """Facts whose pairs can change when new ones arrive: those of the names that are linked with names of new facts, over any number of links (STR-3).
+
+    ``facts`` holds the new ones too.  Pairs of all other facts stay as they are.
+    """
+    f = _named(facts)
+    sets = f.where("tokens is not null").groupBy("words").agg(F.count("*").alias("facts")).select("facts", F.col("words").alias("tokens"), F.array_join("words", " ").alias("key"))
+    near = similar_sets(sets, min_jaccard).select(F.xxhash64("key_a").alias("a"), F.xxhash64("key_b").alias("b"))
+    links = near.unionByName(f.where("tokens is not null and m is not null").select(F.col("tokens").alias("a"), F.col("m").alias("b")))
+    comp = grouped(links).withColumnRenamed("v", "key")
+    of = f.select("id", F.coalesce("m", "tokens").alias("key")).join(comp, "key", "left").select("id", F.coalesce("grp", "key").alias("grp"))
+    touched = of.join(new_facts.select("id").distinct(), "id", "left_semi").select("grp").distinct()
+    return facts.join(of.join(touched, "grp", "left_semi").select("id"), "id", "left_semi")

@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import cache_key
-from ledgerloom.operators.grounding import probe_cache
+from ledgerloom.operators.canon import with_ids
+from ledgerloom.operators.grounding import probe_cache, summary
+from ledgerloom.operators.reconcile import diff_json, is_rule_final
+from ledgerloom.session import cut
 
 # Markers in an error's type and message.
 QUOTA_MARKS = ("429", "rate limit", "resource_exhausted", "resourceexhausted", "quota", "exhausted")
@@ -75,6 +78,27 @@ def fill(template: str, **parts: Column) -> Column:
     return out
 
 
+def extraction_prompts(windows: DataFrame, template: str) -> DataFrame:
+    """``id, prompt`` of each window: the template with its text in {window} (SCL-11)."""
+    return windows.select("id", fill(template, window=F.col("text")).alias("prompt"))
+
+
+def adjudication_prompts(classified: DataFrame, facts: DataFrame, evidence: DataFrame, documents: DataFrame, template: str) -> DataFrame:
+    """``fact_a, fact_b, prompt`` of the pairs a model would be asked about (SCL-11).
+
+    Places of the template: {a}, {b} (summaries), {a_quote}, {b_quote}, {a_doc},
+    {b_doc}, {a_page}, {b_page}, {diff} (JSON) and {agree_text}.
+    """
+    quote = evidence.where("fact_id is not null").groupBy(F.col("fact_id").alias("id")).agg(F.min_by(F.struct("quote", "page_no"), "id").alias("e"))
+    side = summary(facts).join(facts.select("id", "doc_id"), "id").join(documents.select("doc_id", "filename"), "doc_id").join(quote, "id", "left")
+    of = lambda p: side.select(F.col("id").alias(f"fact_{p}"), F.col("summary").alias(f"s_{p}"), F.coalesce("e.quote", F.lit("")).alias(f"q_{p}"), F.col("filename").alias(f"d_{p}"), F.col("e.page_no").alias(f"p_{p}"))
+    asked = classified.where(~is_rule_final(F.col("rule_verdict"))).select("fact_a", "fact_b", "agree", diff_json(F.col("differs")).alias("diff"))
+    j = asked.join(of("a"), "fact_a").join(of("b"), "fact_b")
+    agree = F.when(F.col("agree"), "agree").otherwise("differ")
+    return j.select("fact_a", "fact_b", fill(template, a_quote=F.col("q_a"), b_quote=F.col("q_b"), a_doc=F.col("d_a"), b_doc=F.col("d_b"), a_page=F.col("p_a"), b_page=F.col("p_b"),
+                                             diff=F.col("diff"), agree_text=agree, a=F.col("s_a"), b=F.col("s_b")).alias("prompt"))
+
+
 def term_prompts(terms: DataFrame, known: DataFrame, template: str, terms_per_prompt: int = 500) -> DataFrame:
     """``id, kind, prompt``: names to be grouped, in sorted lists of bounded length, beside the known groups of their kind."""
     per = F.expr(f"n div {terms_per_prompt}")
@@ -101,3 +125,21 @@ def assign_groups(terms: DataFrame, known: DataFrame, groups: DataFrame) -> Data
     t = terms.where("raw is not null and raw != ''").select("kind", "raw").distinct().join(k, ["kind", "raw"], "left").join(g, ["kind", "raw"], "left")
     pick = F.coalesce("k", "g", F.struct(slug(F.col("raw")).alias("canon_id"), F.col("raw").alias("label")))
     return t.select("kind", "raw", pick["canon_id"].alias("canon_id"), pick["label"].alias("label"))
+
+
+def canonicalise_corpus(facts: DataFrame, known: DataFrame, cache: DataFrame, models: list[str], template: str, version: str = "canon-v1") -> tuple[DataFrame, DataFrame]:
+    """``kind, raw, canon_id, label`` of all terms, and ``id, entity_id, metric_id`` of all facts (SEQ-8).
+
+    One pass over the distinct terms: known ones keep their id, the others are
+    asked for in lists of bounded length, what the cache answers is grouped, and
+    the rest gets its slug.
+    """
+    long = facts.select(F.explode(F.array(F.struct(F.lit("subject").alias("kind"), F.col("subject").alias("raw")), F.struct(F.lit("metric").alias("kind"), F.col("metric").alias("raw")))).alias("x"))
+    terms = cut(long.select("x.kind", "x.raw").where("raw is not null and raw != ''").distinct())
+    prompts = cut(term_prompts(terms, known, template))
+    answered = prompts.join(probe_cache(prompts.select("id", "prompt"), cache, models, version), "id").where("response is not null")
+    shape = "struct<groups:array<struct<canon_id:string,label:string,members:array<string>>>>"
+    g = answered.select("kind", F.col("id").alias("list"), F.posexplode(F.from_json("response", shape)["groups"]).alias("seq", "g"))
+    groups = g.select("kind", F.struct("list", "seq").alias("seq"), "g.canon_id", "g.label", "g.members")
+    out = cut(assign_groups(terms, known, groups))
+    return out, with_ids(facts, out)

@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.values import units_compatible, with_agreement
-from ledgerloom.operators.pairing import MAX_PAIRS, candidate_pairs
+from ledgerloom.operators.pairing import MAX_PAIRS, affected, candidate_pairs
 from ledgerloom.session import cut
+from ledgerloom.sources.sinks import upsert
 
 # Qualifiers that tell who reported, not what was measured.
 PROVENANCE = ("source", "publisher", "attribution", "reported_by", "reporter", "author", "institution")
@@ -206,3 +207,14 @@ def build_relations(facts: DataFrame, answers: DataFrame, cap: int = MAX_PAIRS,
     """
     pairs = cut(candidate_pairs(facts, cap))
     return adjudicate(classify(pairs.select("fact_a", "fact_b"), facts), facts, answers, budget)
+
+
+def refresh_relations(relations: DataFrame, facts: DataFrame, new_facts: DataFrame, answers: DataFrame, cap: int = MAX_PAIRS) -> DataFrame:
+    """Relations after new facts arrived: only what they can affect is paired and judged again, the rest stays (STR-1, STR-3, SNK-6).
+
+    ``facts`` holds the new ones too.  Pairs that are no candidates any more
+    stay, as in every upsert; sinks.prune removes them.
+    """
+    touched = cut(affected(facts, new_facts))
+    new = build_relations(touched, answers, cap)
+    return upsert(relations.select(*new.columns), new, ["fact_a", "fact_b"])

@@ -20,7 +20,9 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """Session for one machine; a cluster brings its own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("ledgerloom")
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-            "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
+            "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+            # checkpoints go when nothing refers to them any more; a cluster sets the same
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     for k, v in (base | conf).items():
         b = b.config(k, v)
     s = b.getOrCreate()
@@ -68,7 +70,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"ledgerloom-{os.getpid()}-"))
+        folder = tempfile.mkdtemp(prefix=f"ledgerloom-{os.getpid()}-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 

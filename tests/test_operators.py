@@ -1,9 +1,11 @@
 """Operators on small hand-made tables, with nulls, ties, repeats and empty input."""
 
+import hashlib
+import json
 import random
 import re
 
-from ledgerloom.operators import grounding, ingest, pairing, reconcile, timestamps, units_history, views
+from ledgerloom.operators import grounding, ingest, pairing, provider, reconcile, timestamps, units_history, views
 from ledgerloom.session import table
 from ledgerloom.sources import sinks, texts
 
@@ -282,3 +284,40 @@ def test_complete_and_groups(spark):
     assert {(r.raw, r.canon_id) for r in provider.assign_groups(t, known, groups).collect()} == {("Rev", "revenue"), ("Sales", "revenue"), ("Odd One", "odd_one")}
     prompts = provider.term_prompts(t, known, "{kind}|{terms}|{existing}", 1).collect()
     assert {r.prompt for r in prompts} == {"metric|- Sales|-: revenue: Revenue", "metric|- Odd One|-: revenue: Revenue"}
+
+
+def test_refresh_pairs_only_what_new_facts_touch(spark):
+    r = random.Random(21)
+    names = ["net profit after tax", "net profit before tax", "operating revenue growth", "head count", "grain procured", "order book"]
+    rows = []
+    for i in range(80):
+        k = r.randrange(len(names))
+        x = fact(i, r.choice([1.0, 2.0]), metric=r.choice([f"m{k}", None]), doc=i % 4)
+        rows.append((*x[:3], names[k], *x[4:]))
+    f = spark.createDataFrame(rows, FACT)
+    old, new = f.where("id < 70"), f.where("id >= 78")
+    now = f.where("id < 70 or id >= 78")
+    ans = spark.createDataFrame([(0, 1, "contradicts")], "fact_a bigint, fact_b bigint, verdict string")
+    before = reconcile.build_relations(old, ans, 3)
+    full = {(x.fact_a, x.fact_b): x.final_verdict for x in reconcile.build_relations(now, ans, 3).collect()}
+    got = {(x.fact_a, x.fact_b): x.final_verdict for x in sinks.prune(reconcile.refresh_relations(before, now, new, ans, 3), pairing.candidate_pairs(now, 3)).collect()}
+    assert got == full
+    assert pairing.affected(now, new).count() < now.count()
+
+
+def test_prompts_and_corpus_terms(spark):
+    f = spark.createDataFrame([fact(1), fact(2, 9.0), (3, 1, "Other", "Sales", None, None, None, None, "measurement", 0.5, 1.0, None, None, None, None, None, None)], FACT)
+    c = reconcile.classify(spark.createDataFrame([(1, 2)], "fact_a bigint, fact_b bigint"), f)
+    e = spark.createDataFrame([(1, 1, "quoted", 4)], "id bigint, fact_id bigint, quote string, page_no int")
+    d = spark.createDataFrame([(1, "file.pdf")], "doc_id bigint, filename string")
+    p = provider.adjudication_prompts(c, f, e, d, "{a} ~ {b}: {a_quote}/{b_quote} {a_doc} {a_page} {b_page} {diff} {agree_text}").first()
+    assert p.prompt == "S | M ~ S | M: quoted/ file.pdf 4 none {} differ"
+    assert provider.extraction_prompts(spark.createDataFrame([(7, "text")], "id bigint, text string"), "<{window}>").first().prompt == "<text>"
+    known = spark.createDataFrame([("subject", "S", "s_id", "S Ltd")], "kind string, raw string, canon_id string, label string")
+    template = "{kind}|{terms}|{existing}"
+    asked = provider.term_prompts(f.selectExpr("'metric' as kind", "metric as raw").distinct(), known, template).collect()
+    reply = json.dumps({"groups": [{"canon_id": "sales", "label": "Sales", "members": ["Sales", "M"]}]})
+    cache = spark.createDataFrame([(hashlib.sha256(f"m\0canon-v1\0{x.prompt}".encode()).hexdigest(), reply) for x in asked], "key string, response string")
+    terms, ids = provider.canonicalise_corpus(f, known, cache, ["m"], template)
+    assert {(t.kind, t.raw): t.canon_id for t in terms.collect()} == {("subject", "S"): "s_id", ("subject", "Other"): "other", ("metric", "M"): "sales", ("metric", "Sales"): "sales"}
+    assert {(x.id, x.entity_id, x.metric_id) for x in ids.collect()} == {(1, "s_id", "sales"), (2, "s_id", "sales"), (3, "other", "sales")}
