@@ -92,7 +92,8 @@ def adjudication_prompts(classified: DataFrame, facts: DataFrame, evidence: Data
     quote = evidence.where("fact_id is not null").groupBy(F.col("fact_id").alias("id")).agg(F.min_by(F.struct("quote", "page_no"), "id").alias("e"))
     side = summary(facts).join(facts.select("id", "doc_id"), "id").join(documents.select("doc_id", "filename"), "doc_id").join(quote, "id", "left")
     of = lambda p: side.select(F.col("id").alias(f"fact_{p}"), F.col("summary").alias(f"s_{p}"), F.coalesce("e.quote", F.lit("")).alias(f"q_{p}"), F.col("filename").alias(f"d_{p}"), F.col("e.page_no").alias(f"p_{p}"))
-    asked = classified.where(~is_rule_final(F.col("rule_verdict"))).select("fact_a", "fact_b", "agree", diff_json(F.col("differs")).alias("diff"))
+    # cut before the filter, which would otherwise repeat all steps to the verdict
+    asked = cut(classified.select("fact_a", "fact_b", "rule_verdict", "agree", diff_json(F.col("differs")).alias("diff"))).where(~is_rule_final(F.col("rule_verdict")))
     j = asked.join(of("a"), "fact_a").join(of("b"), "fact_b")
     agree = F.when(F.col("agree"), "agree").otherwise("differ")
     return j.select("fact_a", "fact_b", fill(template, a_quote=F.col("q_a"), b_quote=F.col("q_b"), a_doc=F.col("d_a"), b_doc=F.col("d_b"), a_page=F.col("p_a"), b_page=F.col("p_b"),

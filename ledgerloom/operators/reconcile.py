@@ -76,7 +76,11 @@ def rule_verdict(a: Column, b: Column, keys: Column, agree: Column) -> Column:
 
 
 def classify(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs with ``differs`` (both sides), ``diff`` (names), ``agree``, ``rule_verdict`` and both facts."""
+    """Pairs with ``differs`` (both sides), ``diff`` (names), ``agree``, ``rule_verdict`` and both facts.
+
+    The verdict is the end of a long chain of columns: take what is needed and
+    cut it before filtering on it, as adjudicate does.
+    """
     a, b = F.col("a"), F.col("b")
     p = pair_rows(pairs, facts).withColumn("differs", differences(a, b)).withColumn("diff", F.transform("differs", lambda x: x["k"]))
     p = with_agreement(p, a["canon_value"], b["canon_value"], a["value_raw"], b["value_raw"], TOLERANCE)
