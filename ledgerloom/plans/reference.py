@@ -775,3 +775,39 @@ select doc_id, reason, count(*) as n from (
 def rejected_written(windows: DataFrame, blocks: DataFrame, canon_terms: DataFrame) -> DataFrame:
     out = ingest_run.read_windows(windows, blocks, _write_cache(windows), ["model-a", "model-b"], canon_terms)
     return out["rejected"].groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query("select kind, raw, canon_id, case when canon_id like 'c%' then upper(label) else label end as label from canon_terms")
+def terms_upserted(canon_terms: DataFrame) -> DataFrame:
+    new = canon_terms.where("canon_id like 'c%'").withColumn("label", F.upper("label"))
+    return sinks.upsert(canon_terms, new, ["kind", "raw"]).select("kind", "raw", "canon_id", "label")
+
+
+@query("select sha256('model-b' || chr(0) || 'extract-v1' || chr(0) || text) as key, max(case when window_index = 1 then 'second' else 'first' end) as response from windows where window_index < 2 group by 1")
+def cache_upserted(windows: DataFrame) -> DataFrame:
+    from ledgerloom.functions.text import cache_key
+
+    key = cache_key(F.lit("model-b"), F.lit("extract-v1"), F.col("text")).alias("key")
+    old = windows.where("window_index < 2").select(key, F.lit("first").alias("response")).distinct()
+    again = windows.where("window_index = 1").select(key, F.lit("second").alias("response"), "id")
+    return sinks.upsert(old, sinks.keep_latest(again, ["key"], F.col("id")).drop("id"), ["key"])
+
+
+_GONE = "(select doc_id from documents where not ingest_complete)"
+_GONE_FACTS = f"(select id from facts where doc_id in {_GONE})"
+
+
+@query(f"""
+select 'facts' as name, count(*) as n from facts where doc_id is null or doc_id not in {_GONE} union all
+select 'evidence', count(*) from evidence where fact_id is null or fact_id not in {_GONE_FACTS} union all
+select 'relations', count(*) from relations where coalesce(fact_a not in {_GONE_FACTS}, true) and coalesce(fact_b not in {_GONE_FACTS}, true) union all
+select 'blocks', count(*) from blocks where doc_id is null or doc_id not in {_GONE} union all
+select 'gaps', count(*) from ({_GAPS}) where doc_id not in {_GONE}""")
+def documents_cleared(documents: DataFrame, facts: DataFrame, evidence: DataFrame, relations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows left in each table after the documents that are not complete are cleared."""
+    left = sinks.cascade_delete(documents.where("not ingest_complete").select("doc_id"), facts, evidence, relations, blocks, ingest.page_gaps(documents, blocks))
+    n = [v.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, v in left.items()]
+    out = n[0]
+    for x in n[1:]:
+        out = out.unionByName(x)
+    return out

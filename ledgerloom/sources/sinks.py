@@ -2,9 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BOX = "x0 double, y0 double, x1 double, y1 double"
+#: Tables of a store and their columns.
+SCHEMAS = {
+    "documents": "doc_id bigint, sha256 string, filename string, title string, text string, page_count int, created_at timestamp, ingest_complete boolean",
+    "blocks": f"id bigint, doc_id bigint, page_no int, block_index int, text string, is_boilerplate boolean, {_BOX}",
+    "facts": "id bigint, doc_id bigint, subject string, metric string, value_raw string, unit_raw string, period_raw string, qualifiers map<string,string>, claim_type string, confidence double, "
+             "canon_value double, canon_unit string, period_start string, period_end string, period_kind string, entity_id string, metric_id string",
+    "evidence": f"fact_id bigint, quote string, page_no int, char_start int, char_end int, block_ids array<bigint>, {_BOX}",
+    "relations": "fact_a bigint, fact_b bigint, rule_verdict string, model_verdict string, final_verdict string, reason_code string, explanation string, qualifier_diff string, claimed_transform string, "
+                 "verified boolean, agreed boolean, confidence double",
+    "gaps": "doc_id bigint, page_no int, reason string",
+    "rejected": "doc_id bigint, payload string, reason string",
+    "cache": "key string, response string",
+    "terms": "kind string, raw string, canon_id string, label string",
+}
+
+
+def empty_store(spark: SparkSession) -> dict[str, DataFrame]:
+    """A store without rows (SNK-11)."""
+    return {k: spark.createDataFrame([], v) for k, v in SCHEMAS.items()}
+
+
+def opened(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of an older store with what they lack: absent columns are null, absent tables empty (SNK-11)."""
+    out = {}
+    for name, none in empty_store(spark).items():
+        have = tables.get(name, none)
+        out[name] = with_missing_columns(have, {f.name: F.lit(None).cast(f.dataType) for f in none.schema})
+    return out
+
 
 def insert_or_get(documents: DataFrame) -> DataFrame:
     """``sha256, doc_id, uploads``: the first id of each content; later uploads get it (SNK-1)."""

@@ -39,6 +39,16 @@ def test_load_if_empty_and_migration(spark):
     assert (m.k, m.v, m.w) == (1, "x", 0)
 
 
+def test_an_old_store_is_opened(spark):
+    old = spark.createDataFrame([(1, "h")], "doc_id bigint, sha256 string")
+    store = sinks.opened(spark, {"documents": old})
+    assert set(store) == set(sinks.SCHEMAS) and store["facts"].count() == 0
+    assert store["documents"].first().ingest_complete is None and {f.name for f in store["documents"].schema} >= {"doc_id", "created_at"}
+    docs = spark.createDataFrame([(5, "Head\ncount 12", 1)], "doc_id bigint, text string, page_count int").withColumn("sha256", texts.content_hash(F.col("text")))
+    after = ingest_run.rerun(sinks.empty_store(spark), docs, store["cache"], ["m"], store["terms"])
+    assert after["documents"].select("doc_id", "ingest_complete").collect()[0] == (5, False) and after["blocks"].count() == 2 and after["rejected"].count() == 1
+
+
 def test_cascade_delete_and_prune(spark):
     facts = spark.createDataFrame([(1, 10), (2, 20)], "id bigint, doc_id bigint")
     ev = spark.createDataFrame([(5, 1), (6, 2)], "id bigint, fact_id bigint")
