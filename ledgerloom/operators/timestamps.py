@@ -42,7 +42,7 @@ def normalise_periods(facts: DataFrame, documents: DataFrame, source_info: DataF
     """
     f = facts.select("id", "doc_id", "period_raw", *[F.col(c).alias(f"was_{c}") for c in ("period_start", "period_end", "period_kind")])
     # Slashes and wall-clock times are the only notations that need the source.
-    needs = F.coalesce(F.col("period_raw").rlike(r"\d/\d{1,2}/\d|\d:\d"), F.lit(False))
+    needs = F.coalesce(F.col("period_raw").rlike(r"\d/\d{1,2}/\d|\d:\d|\d{8}[tT]\d{4}"), F.lit(False))
     info = source_info.groupBy("source").agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
     where = (documents.where("doc_id is not null and source is not null").select("doc_id", "source")
              .join(info, "source", "left").groupBy("doc_id").agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order")))

@@ -193,6 +193,8 @@ def test_wrong_periods_and_pairs(spark):
     rows = [(1, "03/04/2020", "2020-03-04", "instant"), (2, "03/04/2020", "2020-04-03", "instant"), (3, "recently", "2020-04-03", "instant"), (4, None, "2020-04-03", "instant"), (5, "x", None, None)]
     f = spark.createDataFrame([(*fact(i)[:6], p, *fact(i)[7:12], s, s, k, None, None) for i, p, s, k in rows], FACT)
     assert {r.fact_id for r in timestamps.wrong_periods(timestamps.normalise_periods(f, docs, info)).collect()} == {2, 3, 4}
+    compact = spark.createDataFrame([(*fact(1)[:6], "20240101T101500", *fact(1)[7:])], FACT)
+    assert timestamps.normalise_periods(compact, docs, info).first().period_start == "2024-01-01T15:15:00Z"
     q = [(1, "5", "Cr", 5e7, "UNKNOWN"), (2, "5", "Cr", 5e7, "INR"), (3, "5", "₹ Cr", 5e5, "INR"), (4, "none", "₹ Cr", 5.0, "INR"), (5, "5", "₹ Cr", None, None), (6, "5", "₹ Cr", -5e7, "INR"), (7, "5", "₹ Cr", 5.004e7, "INR"), (8, "0", "%", 0.0, "PERCENT")]
     f = spark.createDataFrame([(i, 1 + i % 3, "S", "M", v, u, None, None, None, None, cv, cu, None, None, None, None, None) for i, v, u, cv, cu in q], FACT)
     e = spark.createDataFrame([(1, "value 5 Cr"), (2, "value ₹ 5 Cr"), (2, "value ₹ 5 Cr"), (None, "x"), (1, None)], "fact_id bigint, quote string")
