@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import count
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +41,21 @@ SITE_DOCS = 3
 LEFT = 0.1
 #: A first line of up to so many characters is the title where none is given.
 TITLE_CHARS = 150
-#: Words whose suffixes are sorted together; a longer page is sorted by itself.
-BATCH_WORDS = 500_000
+#: Characters of the pages that are read and sorted together; a longer page is read by itself.
+BATCH_CHARS = 2_000_000
 
 _LINK = regex.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>|</a>|(?<=\])\([^)\s]*\)")
 _TAG = regex.compile(r"(#[\p{L}\p{M}_]{2,})\p{N}*")
-_WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)?|\p{N}+")
-_PLAIN_WORDS = re.compile(r"[a-z]+(?:'[a-z]+)?|[0-9]+")  # the same where all is ASCII
-_SENTENCES = re.compile(r"(?<=[.!?।])[\"”’)]*\s+|\n")
+_LETTERS, _NUMBERS = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"\p{N}+")
 _LINES = re.compile(r"\r\n|\r|\n")
-_END = (".", "!", "?", "।")
+
+# Kinds of characters, as bits.
+_LETTER, _NUMBER, _DIGIT, _SPACE, _END, _CLOSER, _APOSTROPHE = (1 << i for i in range(7))
+_SIGNS = {".": _END, "!": _END, "?": _END, "।": _END, '"': _CLOSER, "”": _CLOSER, ")": _CLOSER, "’": _CLOSER | _APOSTROPHE, "'": _APOSTROPHE}
+#: Word keys are polynomials modulo 2 ** 64 of this base; it is odd, so it has an inverse.
+_BASE = 0x9E3779B97F4A7C15
+#: Characters whose keys are made together; their powers stay in the cache.
+_BLOCK = 1 << 16
 
 
 class Suffixes:
@@ -77,7 +82,7 @@ class Suffixes:
         seq[inner] += np.concatenate(pages) if pages else 0
         seq[~inner] = -1 - np.arange(len(pages))
         self.inner = inner
-        sa = np.argsort(seq, kind="stable").astype(np.int32)
+        sa = np.argsort(seq).astype(np.int32)
         rank = np.empty(n, np.int32)
         index = np.arange(n, dtype=np.int32)
         rank[sa], live = self._buckets(index, seq[sa][1:] != seq[sa][:-1] if n else np.zeros(0, bool))
@@ -94,12 +99,15 @@ class Suffixes:
             live = keep
             levels.append(rank.copy())
             h *= 2
-        # common prefixes of neighbours, from the greatest power of two down
-        a, b = sa[:-1].astype(np.int64), sa[1:].astype(np.int64)
-        lcp = np.zeros(max(n - 1, 0), np.int64)
+        # common prefixes of neighbours that begin alike, from the greatest power of two down
+        alike = np.flatnonzero(levels[0][sa[:-1]] == levels[0][sa[1:]])
+        a, b = sa[alike].astype(np.int64), sa[alike + 1].astype(np.int64)
+        common = np.zeros(len(alike), np.int64)
         for k in range(len(levels) - 1, -1, -1):
-            equal = levels[k][np.minimum(a + lcp, n - 1)] == levels[k][np.minimum(b + lcp, n - 1)]
-            lcp += equal.astype(np.int64) << k
+            equal = levels[k][np.minimum(a + common, n - 1)] == levels[k][np.minimum(b + common, n - 1)]
+            common += equal.astype(np.int64) << k
+        lcp = np.zeros(max(n - 1, 0), np.int64)
+        lcp[alike] = common
         self.sa, self.lcp = sa, lcp
 
     def _buckets(self, index: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +118,8 @@ class Suffixes:
         size = np.diff(np.r_[first, len(index)])
         return np.repeat(index[first], size), index[np.repeat(size >= self.times, size)]
 
-    def longest(self) -> list[np.ndarray]:
-        """For each position of each page the length of the longest phrase starting there that stands often enough in the page."""
+    def lengths(self) -> np.ndarray:
+        """For each place the length of the longest phrase starting there that stands often enough in its page; 0 at the ends of pages."""
         n, t = len(self.sa), self.times
         out = np.zeros(n, np.int64)
         if n >= t:
@@ -122,6 +130,11 @@ class Suffixes:
                 out[k:n - t + 1 + k] = np.maximum(out[k:n - t + 1 + k], low)
         by_place = np.zeros(n, np.int64)
         by_place[self.sa] = out
+        return by_place
+
+    def longest(self) -> list[np.ndarray]:
+        """The lengths of each page by itself."""
+        by_place = self.lengths()
         return [by_place[s:s + m] for s, m in zip(self.start[:-1], self.size)]
 
     def heaviest(self, most: int, times: int) -> np.ndarray:
@@ -138,56 +151,123 @@ class Suffixes:
         return best
 
 
-def _tokens(body: str) -> tuple[list[str], int, float]:
-    """Words of a page's own text, how many of them stand in clauses, and the share of its characters in links and tags."""
+@lru_cache(17)
+def _kinds(planes: int) -> np.ndarray:
+    """The kind of every character of the first so many planes of 65,536."""
+    chars = "".join(map(chr, range(planes << 16)))
+    kinds = np.zeros(len(chars), np.uint8)
+    for found, bit in ((_LETTERS, _LETTER), (_NUMBERS, _NUMBER)):
+        for m in found.finditer(chars):
+            kinds[m.start():m.end()] |= bit
+    kinds[[i for i, c in enumerate(chars) if c.isspace()]] |= _SPACE
+    kinds[[i for i in np.flatnonzero(kinds & _NUMBER).tolist() if chars[i].isdigit()]] |= _DIGIT
+    for c, bits in _SIGNS.items():
+        kinds[ord(c)] |= bits
+    return kinds
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _word_keys(codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of the words at these places."""
+    keys, i = np.empty(len(first), np.uint64), 0
+    while i < len(first):
+        s = first[i]
+        j = max(i + 1, int(np.searchsorted(end, s + _BLOCK, side="right")))
+        size = int(end[j - 1] - s)
+        up, down = _powers(_BLOCK) if size <= _BLOCK else _powers.__wrapped__(size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(codes[s:s + size] * up[:size], out=sums[1:])
+        at = first[i:j] - s
+        keys[i:j] = (sums[end[i:j] - s] - sums[at]) * down[at]
+        i = j
+    return keys
+
+
+def _bare(body: str) -> tuple[str, float]:
+    """A page's own text without links, in one case, and the share of its characters in links and tags."""
     bare, linked = body, 0.0
     if "://" in body or "www." in body or "<" in body or "](" in body or "#" in body:
         bare = _LINK.sub(" ", body)
         tagged = sum(len(t) for t in _TAG.findall(bare))
         linked = 1 - (len(bare.replace(" ", "")) - tagged) / max(1, len(body.replace(" ", "")))
         bare = _TAG.sub(r"\1", bare)  # a number at the end of a tag is no number of the text
-    words, in_clause = [], 0
-    for s in _SENTENCES.split(bare.casefold()):
-        own = (_PLAIN_WORDS if s.isascii() else _WORDS).findall(s)
-        if len(own) >= SENTENCE_WORDS and s.rstrip(" \"”’)").endswith(_END):
-            in_clause += len(own)
-        words += own
-    return words, in_clause, linked
+    return bare.casefold(), linked
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(words per page, key, characters, is a number, stands in a clause)``: all words of the pages in order.
+
+    A word is a run of letters, two of which an apostrophe may join, or a run of
+    numbers.  A sentence ends with white space behind an end mark, which
+    quotation marks and brackets may follow, or with the line; with an end mark
+    and enough words it is a clause.
+    """
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    kind = _kinds((int(codes.max()) >> 16) + 1)[codes]
+    run = kind & (_LETTER | _NUMBER)
+    edge = np.r_[0, np.flatnonzero(run[1:] != run[:-1]) + 1, len(run)]
+    of = run[edge[:-1]]
+    first, end, of = (x[of > 0] for x in (edge[:-1], edge[1:], of))
+    # of neighbours in a row that apostrophes join, each second one is joined to the one before it
+    near = np.flatnonzero((first[1:] - end[:-1] == 1) & (of[1:] == _LETTER) & (of[:-1] == _LETTER))
+    near = near[kind[end[near]] & _APOSTROPHE > 0] + 1
+    if len(near):
+        place = np.arange(len(near))
+        row = np.maximum.accumulate(np.where(np.r_[True, np.diff(near) > 1], place, 0))
+        near = near[(place - row) % 2 == 0]
+        end[near - 1] = end[near]
+        first, end, of = (np.delete(x, near) for x in (first, end, of))
+    # sentence ends
+    space = np.flatnonzero(kind & _SPACE)
+    before = space[space > 0] - 1
+    ended = np.zeros(len(space), bool)
+    ended[len(space) - len(before):] = kind[before] & _END > 0
+    closers = np.flatnonzero(kind & _CLOSER)
+    if len(closers):
+        opens = np.maximum.accumulate(np.where(np.r_[True, np.diff(closers) > 1], closers, 0))  # where their row begins
+        last = np.flatnonzero(kind[closers + 1] & _SPACE)  # a line end follows every page
+        last = last[opens[last] > 0]
+        last = last[kind[opens[last] - 1] & _END > 0]
+        ended[np.searchsorted(space, closers[last] + 1)] = True
+    stop = ended | (codes[space] == 10)
+    space, ended = space[stop], ended[stop]
+    sentence = np.searchsorted(space, first)
+    clause = (ended & (np.bincount(sentence, minlength=len(space)) >= SENTENCE_WORDS))[sentence]
+    sizes = np.diff(np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+    return sizes, _word_keys(codes, first, end), end - first, kind[first] & _DIGIT > 0, clause
 
 
 def measure(bodies: list[str]) -> list[tuple[int, float, float, float, float, float]]:
     """``(words, clause share, number share, link share, covered share, phrase share)`` of each page's own text."""
     out: list[tuple[int, float, float, float, float, float]] = []
-    held: list[tuple[list[str], int, float]] = []
+    held: list[tuple[str, float]] = []
 
     def flush() -> None:
-        ids: dict[str, int] = {}
-        n = count()
-        pages = [np.fromiter(map(ids.setdefault, words, n), np.int64, len(words)) for words, _, _ in held]
-        of = np.fromiter(ids.values(), np.int64, len(ids))
-        chars, number = np.zeros(next(n), np.int64), np.zeros(next(n), bool)
-        chars[of] = np.fromiter(map(len, ids), np.int64, len(ids))
-        number[of] = np.fromiter((w[0].isdigit() for w in ids), bool, len(ids))
-        s = Suffixes(pages, REPEATS)
-        for (words, in_clause, linked), page, long, heavy in zip(held, pages, s.longest(), s.heaviest(MAX_PHRASE, PHRASE_TIMES).tolist()):
-            n = len(words)
-            if not n:
-                out.append((0, 0.0, 0.0, linked, 0.0, 0.0))
-                continue
-            size = chars[page]
-            hit = np.flatnonzero((long >= 2) | (long == 1) & (size >= 8))
-            open_ = np.bincount(hit, minlength=n + 1) - np.bincount(hit + long[hit], minlength=n + 1)
-            covered = size[np.cumsum(open_)[:n] > 0].sum() / size.sum()
-            out.append((n, in_clause / n, float(number[page].mean()), linked, float(covered), min(1.0, heavy / n)))
+        sizes, keys, chars, number, clause = _words([t for t, _ in held])
+        ids = np.unique(keys, return_inverse=True)[1]
+        s = Suffixes(np.split(ids, np.cumsum(sizes)[:-1]), REPEATS)
+        long = s.lengths()[s.inner]
+        hit = np.flatnonzero((long >= 2) | (long == 1) & (chars >= 8))
+        open_ = np.bincount(hit, minlength=len(long) + 1) - np.bincount(hit + long[hit], minlength=len(long) + 1)
+        inside = np.cumsum(open_)[:-1] > 0
+        at = np.r_[0, np.cumsum(sizes)]
+        sums = [np.diff(np.r_[0, np.cumsum(x)][at]).tolist() for x in (clause, number, chars, chars * inside)]
+        for n, (_, linked), heavy, c, d, size, covered in zip(sizes.tolist(), held, s.heaviest(MAX_PHRASE, PHRASE_TIMES).tolist(), *sums):
+            out.append((n, c / n, d / n, linked, covered / size, min(1.0, heavy / n)) if n else (0, 0.0, 0.0, linked, 0.0, 0.0))
         held.clear()
 
-    words = 0
+    size = 0
     for body in bodies:
-        held.append(_tokens(body))
-        words += len(held[-1][0])
-        if words >= BATCH_WORDS:
+        if held and size + len(body) > BATCH_CHARS:
             flush()
-            words = 0
+            size = 0
+        held.append(_bare(body))
+        size += len(body)
     if held:
         flush()
     return out

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.graphs import components
@@ -405,6 +406,33 @@ def test_suffixes_of_many_pages_against_brute_force():
             assert long.tolist() == _repeats(p, times) and heavy == _heaviest(p, times)
 
 
+def _read(text):
+    """Words of a text and whether each stands in a clause, one sentence at a time."""
+    out = []
+    for s in re.split(r"(?<=[.!?।])[\"”’)]*\s+|\n", text):
+        own = regex.findall(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)?|\p{N}+", s)
+        out += [(w, len(own) >= stuffing.SENTENCE_WORDS and s.rstrip(" \"”’)").endswith((".", "!", "?", "।"))) for w in own]
+    return out
+
+
+def test_words_of_many_pages_at_once_are_those_of_each_sentence(monkeypatch):
+    r = random.Random(11)
+    signs = list("ab cd1..!?)\"”’''\n\r\t ") + ["।", "\xa0", "\x85", "é", "½", "²", "Ⅳ", "मि", "\u0301", "𝒜", "😀", "a b c d. "]
+    pages = ["", "rock'n'roll", "One two three four.\") Five", "...", "q3 1,000", "x" * 500] + ["".join(r.choices(signs, k=r.randrange(300))) for _ in range(300)]
+    for block in (1, 7, 1 << 16):
+        monkeypatch.setattr(stuffing, "_BLOCK", block)
+        sizes, keys, chars, number, clause = stuffing._words(pages)
+        expected = [_read(t) for t in pages]
+        flat = [x for p in expected for x in p]
+        assert sizes.tolist() == [len(p) for p in expected]
+        assert list(zip(chars.tolist(), number.tolist(), clause.tolist())) == [(len(w), w[0].isdigit(), c) for w, c in flat]
+        assert len(set(zip(keys.tolist(), (w for w, _ in flat)))) == len(set(keys.tolist())) == len({w for w, _ in flat})
+    # pages that are read together or apart measure the same
+    measured = stuffing.measure(pages)
+    monkeypatch.setattr(stuffing, "BATCH_CHARS", 100)
+    assert stuffing.measure(pages) == measured
+
+
 PROSE = " ".join(f"The {a} reported that {b} rose in the quarter because {c} was late." for a in ("board", "office", "unit", "team") for b in ("costs", "sales", "rent") for c in ("rain", "freight", "coal"))
 PAGES = {
     1: (PROSE, False), 2: (", ".join(["cheap loans", "gold rate", "stock tips"] * 20), True), 3: ("\n".join(f"[best loan {i}](https://x.example/{i}ab{i})" for i in range(30)), True),
